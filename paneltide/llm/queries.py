@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, secrets, url_rules
 
 QUERIES = {
+    "op5_secrets": secrets.query,
+    "op9_url_rules": url_rules.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {
+    "op5_secrets": secrets.ORACLE,
+    "op9_url_rules": url_rules.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
