@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secrets, url_rules
+from . import language, mixing, quality_rules, secrets, url_rules
 
 QUERIES = {
+    "op2_mixing": mixing.query,
     "op5_secrets": secrets.query,
+    "op6_language": language.query,
     "op9_url_rules": url_rules.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {
+    "op2_mixing": mixing.ORACLE,
     "op5_secrets": secrets.ORACLE,
     "op9_url_rules": url_rules.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
