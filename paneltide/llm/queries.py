@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality_rules, secrets, url_rules
+from . import language, line_dedup, mixing, quality_rules, secrets, simhash, url_rules
 
 QUERIES = {
     "op2_mixing": mixing.query,
+    "op4_simhash": simhash.query,
     "op5_secrets": secrets.query,
     "op6_language": language.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_url_rules": url_rules.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op5_secrets": secrets.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
     "op9_url_rules": url_rules.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
