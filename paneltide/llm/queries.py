@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, line_dedup, mixing, quality_rules, secrets, simhash, url_rules
+from . import decontaminate, language, line_dedup, mixing, quality_rules, secrets, simhash, url_rules
 
 QUERIES = {
     "op2_mixing": mixing.query,
+    "op3_decontaminate": decontaminate.query,
     "op4_simhash": simhash.query,
     "op5_secrets": secrets.query,
     "op6_language": language.query,
