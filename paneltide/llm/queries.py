@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, mixing, quality_rules, secrets, simhash, url_rules
+from . import decontaminate, language, language_model, line_dedup, mixing, quality_rules, secrets, simhash, url_rules
 
 QUERIES = {
+    "op1_language_model": language_model.query,
     "op2_mixing": mixing.query,
     "op3_decontaminate": decontaminate.query,
     "op4_simhash": simhash.query,
