@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, language_model, line_dedup, mixing, quality_rules, secrets, simhash, url_rules
+from . import decontaminate, language, language_model, licences, line_dedup, mixing, quality_rules, secrets, simhash, url_rules
 
 QUERIES = {
     "op1_language_model": language_model.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.query,
     "op5_secrets": secrets.query,
     "op6_language": language.query,
+    "op7_licences": licences.query,
     "op8_line_dedup": line_dedup.query,
     "op9_url_rules": url_rules.query,
     "op10_quality_rules": quality_rules.query,
