@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import estimators, pairs
+from . import inputs, q_panels, q_series  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of prices, hedge ratio and cointegration statistic of every pair of brands, on monthly prices."""
+    rows = inputs.aligned(spark, sf_dir, "month")
+    return pairs.correlation(rows).join(estimators.engle_granger(rows).drop("n_obs"), pairs.PAIR)
