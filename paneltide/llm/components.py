@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph by label propagation with shortcuts."""
+"""Connected components of an undirected graph by contraction."""
 
 from __future__ import annotations
 
@@ -11,19 +11,30 @@ from .common import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): each node that has a link, with the smallest node that it reaches.
 
-    A round takes the smallest label among a node and its neighbours, then that label's own label. Labels and links
-    are written to the shared checkpoint folder in every round, so a lost executor costs a round at most, and both
-    sides of each join are plain shuffles, which Spark can split where a node has very many neighbours. Nothing but
-    counts comes to the driver. The rounds are about the logarithm of the longest shortest path.
+    In a round every node hangs itself on its smallest neighbour, the trees are flattened by pointer jumping, and links
+    are renamed to their ends' roots; links within a tree fall away. Dense groups so lose nearly all links in the first
+    round, and at least half of the remaining trees merge in each, so links are joined a few times and not once for each
+    step of a path. All tables are written to the shared checkpoint folder, so a lost executor costs a step at most,
+    and both sides of each join are plain shuffles, which Spark can split where a node has very many neighbours.
+    Nothing but counts comes to the driver.
     """
-    both = cut(links.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(links.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct())
-    labels = cut(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")))
+    edges = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b"))
+    labels = None
     while True:
-        heard = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label")
-        best = heard.unionByName(labels).groupBy("node").agg(F.min("label").alias("best"))
-        jumped = best.join(labels.select(F.col("node").alias("best"), F.col("label").alias("further")), "best")
-        rows = cut(jumped.join(labels, "node").select("node", F.least("best", "further").alias("label"), F.col("label").alias("old")))
-        moved = rows.where("label <> old").limit(1).count()
-        labels = rows.select("node", "label")
-        if not moved:
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        tree = cut(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root")))
+        while True:
+            up = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            step = cut(tree.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+            tree = step.select("node", "root")
+            if not step.where("moved").limit(1).count():
+                break
+        if labels is None:
+            labels = tree.select("node", F.col("root").alias("label"))
+        else:
+            by = tree.select(F.col("node").alias("label"), "root")
+            labels = cut(labels.join(by, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+        ends = edges.join(tree.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(tree.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        edges = cut(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if not edges.limit(1).count():
             return labels
