@@ -214,8 +214,8 @@ def _star(prints: DataFrame, distance: int) -> DataFrame:
     spread = prints.select("fingerprint", F.col("fingerprint").alias("point"))
     flips = F.expr(f"array({', '.join(_long(1 << b) for b in range(BITS))}, 0L)")
     for _ in range(distance // 2):
-        spread = spread.select("fingerprint", F.col("point").bitwiseXOR(F.explode(flips)).alias("point"))
-        spread = spread.select("fingerprint", "point").distinct()
+        spread = spread.select("fingerprint", "point", F.explode(flips).alias("flip"))
+        spread = spread.select("fingerprint", F.col("point").bitwiseXOR(F.col("flip")).alias("point")).distinct()
     spread = cut(spread)
     hub = cut(spread.groupBy("point").agg(F.min("fingerprint").alias("hub"), F.max("fingerprint").alias("most")).where("hub <> most").select("point", "hub"))
     return spread.join(hub, "point").where("fingerprint <> hub").select(F.col("hub").alias("a"), F.col("fingerprint").alias("b")).distinct()
