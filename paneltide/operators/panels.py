@@ -14,7 +14,7 @@ class PanelError(ValueError):
 def sanitise(raw: DataFrame, order: str) -> DataFrame:
     """Of rows with the same date and ticker the first one in `order`; dates as DATE."""
     w = W.partitionBy("ticker", "date").orderBy(order)
-    return raw.withColumn("date", F.to_date("date")).where("date IS NOT NULL").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", order)
+    return raw.withColumn("date", F.col("date").try_cast("date")).where("date IS NOT NULL").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", order)
 
 
 def positions(panel: DataFrame) -> DataFrame:
