@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, table, words
 from .components import components
 
 SEED, BITS = 42, 64
@@ -241,11 +241,33 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     return meet(cold, cold).unionByName(swapped).distinct().unionByName(_star(hot, distance))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """Id, fingerprint (long) and component_id, the smallest id reachable, of each row."""
+def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, id_column: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Of the links (a, b) those whose documents' sets of shingles have the similarity (Jaccard) or more.
+
+    A fingerprint stands for its document of the smallest id; links of fingerprints that only null ids have can't be
+    looked up and fall away. Only the texts of linked documents reach the comparison."""
+    name = lambda side: prints.select(F.col("fingerprint").alias(side), F.col("least").alias(f"id_{side}"))
+    named = cut(pairs.join(name("a"), "a").join(name("b"), "b"))
+    wanted = named.select(F.explode(F.array("id_a", "id_b")).alias("__id")).where("__id IS NOT NULL").distinct()
+    w = words(F.lower(F.col(text)))
+    some = docs.join(wanted, docs[id_column] == wanted["__id"], "left_semi").select(F.col(id_column).alias("__id"), w.alias("w"))
+    n = F.size("w")
+    runs = F.when(n >= shingle, F.transform(F.sequence(F.lit(0), F.greatest(n - shingle, F.lit(0))), lambda i: F.xxhash64(*[F.col("w")[i + k] for k in range(shingle)]))).otherwise(F.array(F.xxhash64(F.concat_ws(" ", "w"))))
+    sets = cut(some.select("__id", F.array_distinct(runs).alias("set")).dropDuplicates(["__id"]))
+    own = lambda side: sets.select(F.col("__id").alias(f"id_{side}"), F.col("set").alias(f"set_{side}"))
+    both = named.join(own("a"), "id_a").join(own("b"), "id_b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
+    """Id, fingerprint (long) and component_id, the smallest id reachable, of each row.
+
+    With a similarity, links within the distance are candidates, which the sets of shingles then verify."""
     rows = cut(with_fingerprints(docs, (id_column,), text, shingle))
     prints = cut(rows.groupBy("fingerprint").agg(F.min(id_column).alias("least")))
-    found = components(cut(links(prints, distance)))
+    near = cut(links(prints, distance))
+    found = components(near if similarity is None else cut(alike(near, prints, docs, id_column, text, shingle, similarity)))
     labelled = prints.join(found.select(F.col("node").alias("fingerprint"), "label"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label"))
     labelled = cut(labelled)
     smallest = cut(labelled.groupBy("label").agg(F.min("least").alias("component_id")))
