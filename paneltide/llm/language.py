@@ -4,7 +4,8 @@ Each language has a zstandard raw-content dictionary of at most DICTIONARY_BYTES
 at most SAMPLE_TEXTS labelled documents, those whose ids have the lowest hashes. That bound on the sample is all
 that is limited: every text is encoded whole, in chunks, so that the dictionary counts as much at the end of a
 long text as at its beginning. The score compares the best language's size with the next one's; a text is
-rejected where they lie closer than MARGIN.
+rejected where they lie closer than MARGIN. Equal sizes go to the language with more labelled documents. Texts are
+encoded in lower case.
 
 Texts that are null or hold no letter are "und" with score 0 and rejected. Rows are independent of each other, so
 repeated rows get equal results and no shuffle is needed but for the choice of the sample, which keeps
@@ -24,14 +25,16 @@ from pyspark.sql import types as T
 
 from .common import fold, table
 
-DICTIONARY_BYTES = 64_000
-SAMPLE_TEXTS = 96
+DICTIONARY_BYTES = 160_000
+SAMPLE_TEXTS = 640
 #: Languages beyond these are not learned; the most frequent are.
 LANGUAGES = 200
-CHUNK_BYTES = 8_192
-LEVEL = 3
+CHUNK_BYTES = 2_048
+LEVEL = 9
 #: The next language's size must exceed the best one's by this share of it.
-MARGIN = 0.01
+MARGIN = 0.002
+#: Texts that need fewer bytes than these leave too small a trace for a margin; they are not rejected.
+TRACE_BYTES = 64
 #: The share at which the score is 0.5.
 HALF = 0.04
 NONE = "und"
@@ -47,11 +50,11 @@ def dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", id_col
     share = max(1, size // texts)
     #: A slice of the text, from a place that a hash chooses.
     start = F.pmod(F.xxhash64(F.col(id_column)), F.greatest(F.length(text) - share, F.lit(1))) + 1
-    slices = some.where(F.col(lang).isin(known)).select(F.col(lang).cast("string").alias("lang"), F.col(id_column).alias("id"), F.length(text).alias("size"), F.substr(text, start.cast("int"), F.lit(share)).alias("start"))
+    slices = some.where(F.col(lang).isin(known)).select(F.col(lang).cast("string").alias("lang"), F.col(id_column).alias("id"), F.length(text).alias("size"), F.lower(F.substr(text, start.cast("int"), F.lit(share))).alias("start"))
     rows = slices.withColumn("rank", rank).where(F.col("rank") <= texts).select("lang", "rank", "start").collect()
-    out: dict[str, bytes] = {}
+    out: dict[str, bytes] = {str(name): b"" for name in known}
     for r in sorted(rows, key=lambda r: (r["lang"], -r["rank"])):
-        out[r["lang"]] = (out.get(r["lang"], b"") + r["start"].encode() + b"\n")[-size:]
+        out[r["lang"]] = (out[r["lang"]] + r["start"].encode() + b"\n")[-size:]
     return out
 
 
@@ -66,7 +69,7 @@ def identify(docs: DataFrame, known: dict[str, bytes], keep: tuple[str, ...] = (
     fields = {f.name: f for f in docs.schema.fields}
     source = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*[fields[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    names = sorted(known)
+    names = list(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -83,11 +86,11 @@ def identify(docs: DataFrame, known: dict[str, bytes], keep: tuple[str, ...] = (
                 if t is None or not names or not _LETTER.search(t):
                     row = (NONE, 0.0, True)
                 else:
-                    need = sizes(t.encode("utf-8", "surrogatepass"), coders)
+                    need = sizes(t.lower().encode("utf-8", "surrogatepass"), coders)
                     best = min(range(len(names)), key=lambda k: (need[k], k))
                     rest = min((n for k, n in enumerate(need) if k != best), default=2 * need[best])
                     gap = (rest - need[best]) / need[best]
-                    row = (names[best], gap / (gap + HALF) if gap > 0 else 0.0, gap < margin)
+                    row = (names[best], gap / (gap + HALF) if gap > 0 else 0.0, gap < margin and need[best] >= TRACE_BYTES)
                 for out, x in zip((found, scores, rejected), row, strict=True):
                     out.append(x)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
