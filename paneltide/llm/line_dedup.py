@@ -56,30 +56,37 @@ def first_lines(docs: DataFrame, id_column: str, text: str, least: int) -> DataF
 
 def _neighbours(lines: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(h, by): a line and the earliest near line before it. lines: as first_lines() gives them, written down."""
-    halves = lines.where(F.size("halves") > 0).select("h", F.explode("halves").alias("half"))
+    halves = lines.where(F.size("halves") > 0).select("h", F.posexplode("halves").alias("side", "half"))
     shared = cut(halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half"))
-    able = halves.join(shared, "half", "left_semi").select("h").distinct()
+    # A shared first half leaves the edit to the places after it, a shared last half to those before.
+    able = halves.join(shared, "half", "left_semi").groupBy("h").agg(F.max(F.col("side") % 2 == 0).alias("late"), F.max(F.col("side") % 2 == 1).alias("early"))
     candidates = cut(lines.drop("halves").join(able, "h"))
 
-    by_doc = candidates.groupBy("id", "text_hash").agg(F.collect_list(F.struct("line", "h")).alias("wanted"))
+    by_doc = candidates.groupBy("id", "text_hash").agg(F.collect_list(F.struct("line", "h", "late", "early")).alias("wanted"))
     own = docs.select(F.col(id_column).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
     found = own.join(by_doc, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("text_hash")))
     split = found.select("id", "text_hash", "wanted", F.split("__text", "\n").alias("lines"))
-    each = split.select("id", "text_hash", F.explode(F.transform("wanted", lambda x: F.struct(x["line"].alias("line"), x["h"].alias("h"), F.col("lines")[x["line"]].alias("raw")))).alias("x"))
-    texts = cut(each.select(F.col("x.h").alias("h"), F.struct("id", "text_hash", F.col("x.line").alias("line")).alias("at"), _words(F.col("x.raw")).alias("w")).dropDuplicates(["h"]))
+    each = split.select("id", "text_hash", F.explode(F.transform("wanted", lambda x: F.struct(x.alias("x"), F.col("lines")[x["line"]].alias("raw")))).alias("y"))
+    texts = cut(each.select("y.x.h", F.struct("id", "text_hash", "y.x.line").alias("at"), "y.x.late", "y.x.early", _words(F.col("y.raw")).alias("w")).dropDuplicates(["h"]))
 
     size = F.size("w")
+    middle = F.floor((size - 1) / 2).cast("int")
     without = lambda i: F.xxhash64(_line(F.concat(F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, size))))
-    variants = cut(texts.select("h", "at", F.posexplode(F.transform(F.sequence(F.lit(1), size), without)).alias("place", "variant")))
-    # One word replaced: the same variant by deletion at the same place.
-    groups = cut(variants.groupBy("variant", "place").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min(F.struct("at", "h")).alias("first")).where("a <> b").select("variant", "place", "first"))
-    replaced = variants.join(groups, ["variant", "place"]).where(F.col("first.at") < F.col("at")).select("h", F.col("first.at").alias("by_at"), F.col("first.h").alias("by"))
-    # One word more: a variant of the longer line is the shorter one.
-    whole = texts.select(F.col("h").alias("variant"), F.col("at").alias("short_at"))
-    longer = cut(variants.select("h", "at", "variant").join(whole, "variant"))
-    added = longer.where("short_at < at").select("h", F.col("short_at").alias("by_at"), F.col("variant").alias("by"))
-    lacking = longer.where("at < short_at").select(F.col("variant").alias("h"), F.col("at").alias("by_at"), F.col("h").alias("by"))
-    best = replaced.unionByName(added).unionByName(lacking).groupBy("h").agg(F.min(F.struct("by_at", "by")).alias("b")).select("h", F.col("b.by").alias("by"))
+    places = F.sequence(F.when(F.col("early"), 1).otherwise(middle + 1), F.when(F.col("late"), size).otherwise(middle + 1))
+    deleted = texts.select("h", F.explode(F.transform(places, lambda i: F.struct(i.alias("place"), without(i).alias("variant")))).alias("v")).select("h", "v.place", "v.variant")
+    # Place 0: the whole line, as a variant of lines with one word more.
+    variants = cut(deleted.unionByName(texts.select("h", F.lit(0).alias("place"), F.col("h").alias("variant"))))
+    met = cut(variants.groupBy("variant").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("variant"))
+    few = variants.join(met, "variant", "left_semi").join(texts.select("h", "at"), "h")
+    few = cut(few)
+    # One word replaced: deleted at the same place. One word more: a variant of the longer line is the shorter one.
+    first = lambda rows, key: cut(rows.groupBy(*key).agg(F.min(F.struct("at", "h")).alias("first")))
+    gone = few.where("place > 0")
+    earlier = lambda rows, firsts, key: rows.join(firsts, key).where((F.col("first.at") < F.col("at")) & (F.col("first.h") != F.col("h"))).select("h", "first")
+    replaced = earlier(gone, first(gone, ["variant", "place"]), ["variant", "place"])
+    added = earlier(gone, first(few.where("place = 0"), ["variant"]), ["variant"])
+    lacking = earlier(few.where("place = 0"), first(gone, ["variant"]), ["variant"])
+    best = replaced.unionByName(added).unionByName(lacking).groupBy("h").agg(F.min("first").alias("first")).select("h", F.col("first.h").alias("by"))
     a, b = texts.select("h", F.col("w").alias("wa")), texts.select(F.col("h").alias("by"), F.col("w").alias("wb"))
     return best.join(a, "h").join(b, "by").where(within_one_edit(F.col("wa"), F.col("wb"))).select("h", "by")
 
