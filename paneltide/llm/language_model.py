@@ -287,7 +287,7 @@ def learn_weights(cells: DataFrame, tokens: int, vocabulary: int, rounds: int =
 def fit(docs: DataFrame, size: int) -> Model:
     """docs: id, text, dev of the training texts; size: their bytes, about."""
     spark = docs.sparkSession
-    ranges = max(-(-size // RANGE_BYTES), 8 * shuffle_partitions(spark))
+    ranges = max(-(-size // RANGE_BYTES), 2 * shuffle_partitions(spark))
     counts = cut(count(docs, ranges))
     r = counts.where("order = 1").agg(F.sum("total"), F.sum("total_kept"), F.sum("distinct")).first()
     tokens, kept, vocabulary = (int(x or 0) for x in r)
