@@ -6,8 +6,8 @@ item within RADIUS bits must agree with the window on some block up to RADIUS //
 with all such flips finds every item within the radius. The candidates found are verified by the exact weighted
 Jaccard similarity of the shingles (weights: how often a shingle stands in the window and in the item).
 
-A window whose similarity to any item can reach the threshold holds at least threshold * (its shingles) shingles
-that stand in some item; the windows without are passed over before their SimHash is taken. That condition is
+A window whose similarity to an item of its length can reach the threshold holds at least threshold * (its shingles)
+shingles that stand in such items; the windows without are passed over before their SimHash is taken. That condition is
 necessary, so nothing is lost by it.
 
 Documents are scanned once and never shuffled; copies, hot sources and passages that many documents share cost
@@ -45,18 +45,20 @@ _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` word hashes."""
+    """Hashes of all runs of `size` word hashes: their sum with a weight for each place."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = h[:n].copy()
     for k in range(1, size):
-        out = mix64(out * _SALT + h[k : k + n])
+        out *= _SALT
+        out += h[k : k + n]
     return out
 
 
 def simhashes(values: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     """The SimHash of values[s : s + count] for each start."""
+    values = mix64(values)
     out = np.zeros(len(starts), np.uint64)
     for bit in range(64):
         ones = np.concatenate(([0], np.cumsum((values >> np.uint64(bit) & np.uint64(1)).astype(np.int64))))
@@ -119,11 +121,28 @@ class Items:
             if len(h):
                 by_length.setdefault(len(h), []).append((i, shingles(h, min(shingle, len(h)))))
         self.known = {k: np.unique(np.concatenate([s for n, of in by_length.items() for _, s in of if min(shingle, n) == k])) for k in {min(shingle, n) for n in by_length}}
+        #: By the upper bits of a shingle, whether any known one has them.
+        self.seen = {}
+        for k, known in self.known.items():
+            self.seen[k] = np.zeros(1 << 20, bool)
+            self.seen[k][known >> np.uint64(44)] = True
         self.lengths = []
         for n, of in sorted(by_length.items()):
             k = min(shingle, n)
             prints = np.concatenate([simhashes(s, np.zeros(1, np.int64), len(s)) for _, s in of])
-            self.lengths.append((n, k, [i for i, _ in of], [s for _, s in of], HammingIndex(prints, radius)))
+            self.lengths.append((n, k, [i for i, _ in of], [s for _, s in of], HammingIndex(prints, radius), np.unique(np.concatenate([s for _, s in of]))))
+
+    def touched(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of the texts, laid end to end, hold a shingle of an item. ends: where each text's words end."""
+        out = np.zeros(len(ends), bool)
+        for k, known in self.known.items():
+            s = shingles(h, k)
+            place = np.flatnonzero(self.seen[k][s >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(known, s[place]), len(known) - 1)
+            place = place[known[at] == s[place]]
+            text = np.searchsorted(ends, place, side="right")
+            out[text[place + k <= ends[np.minimum(text, len(ends) - 1)]]] = True
+        return np.flatnonzero(out)
 
     def search(self, h: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(item, first word, words, bits apart, similarity) of the best window for each item that has one."""
@@ -131,16 +150,24 @@ class Items:
         runs = {}
         for k, known in self.known.items():
             s = shingles(h, k)
-            hit = np.zeros(len(s), bool)
+            places = np.zeros(0, np.int64)
             if len(s):
                 at = np.searchsorted(known, s)
-                hit = known[np.minimum(at, len(known) - 1)] == s
-            runs[k] = (s, np.concatenate(([0], np.cumsum(hit))) if hit.any() else None)
-        for n, k, ids, own, index in self.lengths:
-            s, seen = runs[k]
+                places = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == s)
+            runs[k] = (s, places)
+        for n, k, ids, own, index, known in self.lengths:
+            s, places = runs[k]
             count = n - k + 1
-            if seen is None or len(s) < count:
+            if len(s) < count or not len(places):
+                continue
+            # Of the known shingles only those count that items of this very length have.
+            at = np.minimum(np.searchsorted(known, s[places]), len(known) - 1)
+            hits = places[known[at] == s[places]]
+            if len(hits) < self.similarity * count - 1e-9:
                 continue
+            seen = np.zeros(len(s) + 1, np.int64)
+            seen[hits + 1] = 1
+            seen = np.cumsum(seen)
             starts = np.flatnonzero(seen[count:] - seen[:-count] >= self.similarity * count - 1e-9)
             for at in range(0, len(starts), 20_000):
                 some = starts[at : at + 20_000]
@@ -172,11 +199,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = Items(shared.value, shingle, similarity, radius)
             for whole in batches:
-                for at in range(0, whole.num_rows, 500):
-                    batch = whole.slice(at, 500)
+                for at in range(0, whole.num_rows, 200):
+                    batch = whole.slice(at, 200)
+                    texts = text_bytes(batch.column(1))
+                    h, starts = hash_words(b"\n".join(texts))
+                    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
                     own, rows = [], []
-                    for i, data in enumerate(text_bytes(batch.column(1))):
-                        for found in wanted.search(hash_words(data)[0]):
+                    for i in wanted.touched(h, ends).tolist():
+                        for found in wanted.search(h[ends[i - 1] if i else 0 : ends[i]]):
                             own.append(i)
                             rows.append(found)
                     columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
