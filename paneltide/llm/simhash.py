@@ -10,7 +10,7 @@ with up to about half of t_i bits flipped, and equal values meet in a join that
 All statistics come from all fingerprints. Copies are collapsed to one fingerprint before anything is joined. If a
 partition's value is shared by more than HOT_BUCKET distinct fingerprints, these are linked by a star through common
 midpoints (rows in proportion to their number, no pairs); their links to others still come from the join. Neither
-drops a link. Components are found by label propagation; no links or fingerprints come to the driver.
+drops a link. Where links are verified by similarity there are no stars, as a star's links need not be alike. Components are found by label propagation; no links or fingerprints come to the driver.
 
 Null and empty texts have the fingerprint zero and link like any other. Rows that repeat an id get equal results.
 Null ids never name a component (a component of null ids only has a null id).
@@ -221,15 +221,17 @@ def _star(prints: DataFrame, distance: int) -> DataFrame:
     return spread.join(hub, "point").where("fingerprint <> hub").select(F.col("hub").alias("a"), F.col("fingerprint").alias("b")).distinct()
 
 
-def links(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints that join all those within the distance. prints: distinct, written down."""
+def links(prints: DataFrame, distance: int = 4, every: bool = False) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints that join all those within the distance. prints: distinct, written down.
+
+    every: all pairs within the distance and no stars, for links that are then verified one by one."""
     n, both = bit_statistics(prints)
     if n < 2:
         return prints.where("false").select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"))
     parts = allocate(n, both, distance)
     close = (F.col("a") < F.col("b")) & (_apart("a", "b") <= distance)
     meet = lambda x, y: _keys(x, parts, 0, "a").join(_keys(y, parts, 1, "b"), ["part", "key"]).where(close).select("a", "b")
-    if n <= HOT_BUCKET or distance % 2:
+    if every or n <= HOT_BUCKET or distance % 2:
         return meet(prints, prints).distinct()
     own = _keys(prints, [Part(p.bits, 0) for p in parts], 0, "fingerprint")
     hot_keys = cut(own.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET).select("part", "key"))
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     With a similarity, links within the distance are candidates, which the sets of shingles then verify."""
     rows = cut(with_fingerprints(docs, (id_column,), text, shingle))
     prints = cut(rows.groupBy("fingerprint").agg(F.min(id_column).alias("least")))
-    near = cut(links(prints, distance))
+    near = cut(links(prints, distance, every=similarity is not None))
     found = components(near if similarity is None else cut(alike(near, prints, docs, id_column, text, shingle, similarity)))
     labelled = prints.join(found.select(F.col("node").alias("fingerprint"), "label"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label"))
     labelled = cut(labelled)
