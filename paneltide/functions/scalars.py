@@ -78,16 +78,34 @@ def pair_score(pvalue: Column, half_life: Column, range_: Column, hedge: Column,
     return total
 
 
+def one_digit(value: Column) -> Column:
+    """The number with one digit, rounded as C and Python do: by its exact binary value, ties to the even digit.
+
+    Spark's own format rounds the shortest decimal half up. Twenty times the fraction is taken as a sum and its exact
+    error, so that it compares exactly with the odd number halfway between two digits."""
+    x = F.abs(value)
+    whole = F.floor(x)
+    a, b = (x - whole) * 16, (x - whole) * 4
+    s = a + b
+    error = (a - (s - (s - a))) + (b - (s - a))
+    digit = F.floor(s / 2)
+    over = s - (digit * 2 + 1)
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (digit % 2 == 1))))
+    tenths = whole * 10 + digit + F.when(up, 1).otherwise(0)
+    text = F.concat(F.when(value < 0, "-").otherwise(""), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    # Numbers of 2 ** 46 or more have few binary digits after the point or none; NaN keeps Spark's form.
+    return F.when(x < 2.0**46, text).otherwise(F.format_string("%.1f", value))
+
+
 def excluded_reason(pvalue: Column, half_life: Column, range_: Column, threshold: float, low: float, high: float, least: float) -> Column:
     """The first quality rule that fails, or null."""
-    number = lambda c, digits: F.format_string(f"%.{digits}f", c)
     return (
         F.when(pvalue.isNull(), F.lit("pvalue:None"))
         .when(pvalue > threshold, F.concat(F.lit("pvalue:"), pvalue.cast("string")))
         .when(half_life.isNull(), F.lit("half_life:None"))
-        .when(half_life < low, F.concat(F.lit("half_life_low:"), number(half_life, 1)))
-        .when(half_life > high, F.concat(F.lit("half_life_high:"), number(half_life, 1)))
-        .when(range_ < least, F.concat(F.lit("spread_range_low:"), number(range_, 1)))
+        .when(half_life < low, F.concat(F.lit("half_life_low:"), one_digit(half_life)))
+        .when(half_life > high, F.concat(F.lit("half_life_high:"), one_digit(half_life)))
+        .when(range_ < least, F.concat(F.lit("spread_range_low:"), one_digit(range_)))
     )
 
 

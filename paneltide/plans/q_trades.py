@@ -227,7 +227,7 @@ def _(spark, d):
 
 @query("p10_excluded_reasons", S + " SELECT k, CASE WHEN h % 9 = 0 THEN 'pvalue:None' WHEN h % 9 = 8 THEN 'pvalue:0.5' WHEN h % 7 = 0 THEN 'half_life:None' WHEN a < 5 THEN 'half_life_low:' || format('{:.1f}', a) WHEN a > 60 THEN 'half_life_high:' || format('{:.1f}', a) WHEN b < 4 THEN 'spread_range_low:' || format('{:.1f}', b) END AS reason FROM v WHERE round(a * 100) % 10 <> 5 AND round(b * 100) % 10 <> 5")
 def _(spark, d):
-    v = _v(spark, d).where((F.round(F.col("a") * 100) % 10 != 5) & (F.round(F.col("b") * 100) % 10 != 5))
+    v = _v(spark, d)
     p = F.when(F.col("h") % 9 == 0, None).when(F.col("h") % 9 == 8, 0.5).otherwise(0.01)
     return v.select("k", s.excluded_reason(p, F.when(F.col("h") % 7 != 0, F.col("a")), F.col("b"), 0.1, 5, 60, 4).alias("reason"))
 
