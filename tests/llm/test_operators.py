@@ -84,11 +84,72 @@ def test_language_model(spark, docs, none):
     assert language_model.score(none.select("id", "text"), model, 0).count() == 0
 
 
+def plain_scores(texts, rounds=language_model.ROUNDS):
+    """doc_id -> log10 probability by a model of plain dictionaries. texts: (id, text, training, dev)."""
+    seq = lambda t: [*words((t or "").translate(LOW)), None]
+
+    def counts(rows):
+        one, two = collections.Counter(), collections.Counter()
+        for _, t, _, _ in rows:
+            w = seq(t)
+            one.update(w)
+            two.update(zip([..., *w[:-1]], w))
+        one[...] = one[None]
+        return one, two
+
+    bucket = lambda n: n.bit_length()
+    full, kept = counts([r for r in texts if r[2]]), counts([r for r in texts if r[2] and not r[3]])
+    size = lambda c: sum(n for w, n in c[0].items() if w is not ...)
+    v = len(full[0]) - 1
+
+    def parts(c, before, w):
+        context = c[0][before]
+        return bucket(context), (c[1][before, w] / context if context else 0.0, c[0][w] / max(size(c), 1), 1 / (v + 1))
+
+    cells = [parts(kept, b, w) for _, t, training, dev in texts if training and dev for b, w in zip([..., *seq(t)[:-1]], seq(t))]
+    weights = collections.defaultdict(lambda: [0.5, 0.4, 0.1])
+    for _ in range(rounds):
+        sums = collections.defaultdict(lambda: [0.0, 0.0, 0.0])
+        for k, p in cells:
+            q = [x * y for x, y in zip(weights[k], p)]
+            for i in range(3):
+                sums[k][i] += q[i] / sum(q)
+        new = {k: [max(x / sum(s), language_model.LEAST_WEIGHT) for x in s] for k, s in sums.items()}
+        new = {k: [x / sum(s) for x in s] for k, s in new.items()}
+        moved = max((abs(x - y) for k in new for x, y in zip(new[k], weights[k])), default=0)
+        weights.update(new)
+        if moved < 1e-4:
+            break
+    out = {}
+    for i, t, _, _ in texts:
+        w = seq(t)
+        out[i] = sum(math.log10(sum(x * y for x, y in zip(weights[k], p))) for k, p in (parts(full, b, x) for b, x in zip([..., *w[:-1]], w)))
+    return out
+
+
+@pytest.mark.parametrize("radix,least", [(6, 16_000_000), (2, 100), (1, 4000)])
+def test_language_model_scores(spark, monkeypatch, radix, least):
+    """The method's own score, weights included, through one level of ranges and through many."""
+    monkeypatch.setattr(language_model, "RADIX_BITS", radix)
+    monkeypatch.setattr(language_model, "RANGE_BYTES", least)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(language_model, "PACK_TOKENS", 150)
+    texts = [(k, sentence(k % 37, 20 + 7 * k % 90) if k % 11 else ("" if k % 2 else None), k % 5 > 0, k % 5 == 1) for k in range(120)]
+    rows = spark.createDataFrame(texts, "id long, text string, training boolean, dev boolean").repartition(5)
+    size = sum(len(t or "") for _, t, _, _ in texts)
+    assert language_model.levels(size) == {6: 1, 2: 5, 1: 3}[radix]
+    model = language_model.fit(rows.where("training").select("id", "text", "dev"), size)
+    got = {r["id"]: r["score"] for r in language_model.score(rows.select("id", "text"), model, size).collect()}
+    assert got == pytest.approx(plain_scores(texts), rel=1e-9)
+
+
 def test_packing():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 5000).astype(np.uint64))
     assert (language_model.unpack_sorted(language_model.pack_sorted(keys)) == keys).all()
-    edges = language_model.range_edges(keys, 2, 7)
-    assert edges[0] == 0 and edges[-1] == len(keys) and (np.diff(edges) > 0).all()
+    ranges, begin, end = language_model.split(keys, 48, 0)
+    assert begin[0] == 0 and end[-1] == len(keys) and begin[1:] == end[:-1] and ranges == sorted(set((keys >> np.uint64(42)).tolist()))
+    assert language_model.split(keys[:0], 48, 0) == ([], [], [])
+    assert [language_model.pair_bits(n) for n in (0, 10**9, 10**11, 10**15)] == [48, 48, 56, 64]
 
 
 def test_mixing(docs, none):
