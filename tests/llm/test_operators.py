@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from paneltide.llm import components, decontaminate, language, language_model, licences, line_dedup, mixing, quality_rules, secrets, simhash, tokens, url_rules
+from paneltide.llm import components, decontaminate, language, language_model, line_dedup, mixing, quality_rules, secrets, simhash, tokens, url_rules
 
 LOW = {i: i + 32 for i in range(65, 91)}
 WORDS = "the cat sat on a mat and saw many small red birds fly over old stone walls near our quiet river while rain fell".split()
@@ -284,16 +284,6 @@ def test_language(spark, docs, none):
     assert language.dictionaries(none) == {} and language.identify(none, known).count() == 0
 
 
-def test_licences(spark, none):
-    rows = [(1, "Some text about cats.\nReleased under the MIT License.\nMore of it."), (2, None), (3, ""), (4, "A poem of the general public and its library."), (5, "Licensed under the Apache License, Version 2.0."), (5, "Licensed under the Apache License, Version 2.0.")]
-    rows += [(10 + k, sentence(k, 50)) for k in range(20)]
-    texts = spark.createDataFrame(rows, "doc_id long, text string")
-    weights = licences.train(texts).cache()
-    got = [(r["doc_id"], r["paragraph"], r["family"], r["confirmed"]) for r in licences.scan(texts, weights).collect()]
-    assert sorted(got) == [(1, 1, "MIT", True), (5, 0, "Apache-2.0", True)]
-    assert licences.scan(none, weights).count() == 0
-
-
 def test_line_dedup(docs, none, spark):
     a = sentence(11, 14)
     w = a.split()
