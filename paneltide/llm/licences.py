@@ -75,7 +75,7 @@ NOTICES = [
     "subject to the terms and conditions of the {}",
 ]
 PROPRIETARY = [
-    *[before + "ll rights reserved" + after for before in ("Copyright by the publisher; a", "(c) The company. A", "The contents remain the property of the company and a") for after in (".", " worldwide.", " by it.", ", including the right of reproduction in whole or in part.", "; no licence is granted.")],
+    *[before + "ll rights reserved" + after for before in ("Copyright by the publisher; a", "(c) The company. A", "The contents remain the property of the company and a", "2019 The press, a", "Text and pictures by the author. A", "Translation, a") for after in (".", " worldwide.", " by it.", ", including the right of reproduction in whole or in part.", "; no licence is granted.")],
     "All rights are reserved by the author.",
     "No part of this publication may be reproduced or transmitted without the prior written permission of the publisher.",
     "This document is confidential and proprietary and may not be disclosed to third parties.",
@@ -112,6 +112,8 @@ NEUTRAL = [
     "License: none",
 ]
 SAMPLE_TEXTS, SAMPLE_LINES = 400, 4000
+#: Pairs of the training texts that can have a weight.
+VOCABULARY = 4000
 LEAST_PROBABILITY = 0.6
 #: Share of the pairs of the shorter of template and paragraph that a confirmed paragraph holds.
 CONFIRMED = 0.6
@@ -179,10 +181,13 @@ def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     some = lines.distinct().orderBy(F.xxhash64("t"), "t").limit(SAMPLE_LINES)
     foreign = _pair_lists(some.select(F.lit(0.0).alias("label"), "t", (F.pmod(F.xxhash64("t", F.lit(1)), F.lit(4)) == 0).alias("apart")), "t", "label", "apart")
     sample = cut(written.unionByName(foreign).withColumn("n", F.monotonically_increasing_id()))
-    vocabulary = sorted(r[0] for r in sample.where("label > 0").select(F.explode("pairs")).distinct().collect())
     sizes = {r["label"]: r["n"] for r in sample.where("NOT apart").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Rare families count more, by the root of how much rarer they are.
-    weigh = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, (max(sizes.values()) / n) ** 0.5)])
+    # The pairs that the largest shares of a family's rows hold.
+    shares = sample.where("label > 0 AND NOT apart").select("label", F.explode("pairs").alias("pair")).groupBy("pair", "label").agg(F.count(F.lit(1)).alias("n"))
+    size_of = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, n)])
+    vocabulary = sorted(r[0] for r in shares.groupBy("pair").agg(F.max(F.col("n") / size_of[F.col("label")]).alias("share")).orderBy(F.desc("share"), "pair").limit(VOCABULARY).collect())
+    # Rare families count more, by how much rarer they are, damped.
+    weigh = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, (max(sizes.values()) / n) ** 0.75)])
     # A few thousand rows at most: one task goes over them in each step of the fit.
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "pairs", "features").transform(sample.where("NOT apart").coalesce(1)).select("label", "features", weigh[F.col("label")].alias("weight"))
     model = LogisticRegression(family="multinomial", regParam=REGULARISATION, elasticNetParam=ELASTIC, maxIter=50, standardization=False, weightCol="weight").fit(vectors)
@@ -190,10 +195,11 @@ def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     weights = [(*p.split(" "), [float(x) for x in matrix[:, k]]) for k, p in enumerate(vocabulary) if matrix[:, k].any()]
     learned = spark.createDataFrame(weights, "first string, second string, weights array<double>").withColumn("pair", F.xxhash64("first", "second"))
     kept_out = cut(sample.where("apart").select("n", "label", F.explode("pairs").alias("pair")).withColumn("pair", F.xxhash64(F.split("pair", " ")[0], F.split("pair", " ")[1])))
-    scored = cut(_logits(kept_out, learned, intercepts, ["n", "label"], "left"))
-    tried = scored.withColumn("t", F.explode(F.array(*[F.lit(2 ** (k / 4)) for k in range(-12, 9)])))
+    scored = _sums(kept_out, learned, intercepts, ["n", "label"])
+    tried = cut(scored.select("label", F.array(*[F.col(f"l{k}") for k in range(len(intercepts))]).alias("logits"))).withColumn("t", F.explode(F.array(*[F.lit(2 ** (k / 4)) for k in range(-12, 9)])))
     loss = tried.groupBy("t").agg(F.avg(-F.log(F.greatest(_softmax(F.col("logits"), F.col("t"))[F.col("label").cast("int")], F.lit(1e-12)))).alias("loss"))
-    temperature = loss.orderBy("loss", "t").first()["t"]
+    best = loss.orderBy("loss", "t").first()
+    temperature = best["t"] if best is not None else 1.0
     return learned.withColumn("intercepts", F.array(*[F.lit(x) for x in intercepts])).withColumn("temperature", F.lit(temperature))
 
 
@@ -203,12 +209,14 @@ def _softmax(logits: Column, temperature) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
 
 
-def _logits(pairs: DataFrame, weights: DataFrame, intercepts: list[float], keys: list[str], how: str = "inner") -> DataFrame:
-    """Logits of each group of keys. pairs: keys and pair. The weights are bounded by the training texts."""
-    found = pairs.join(F.broadcast(weights.select("pair", "weights")), "pair", how)
-    once = found.groupBy(*keys, "pair").agg(F.first("weights").alias("weights"))
-    sums = once.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col("weights")[k], F.lit(0.0))).alias(f"w{k}") for k in range(len(intercepts))])
-    return sums.select(*keys, F.array(*[F.col(f"w{k}") + intercepts[k] for k in range(len(intercepts))]).alias("logits"))
+def _sums(pairs: DataFrame, weights: DataFrame, intercepts: list[float], keys: list[str]) -> DataFrame:
+    """keys and the logits l0, l1, ... of each group of keys. pairs: keys and pair. The weights are bounded by the training texts."""
+    n = len(intercepts)
+    known = weights.select("pair", *[F.col("weights")[k].alias(f"w{k}") for k in range(n)])
+    # Each pair counts once; the groups stay where they are for the sums.
+    once = pairs.join(F.broadcast(known.select("pair")), "pair", "left_semi").groupBy(*keys).agg(F.collect_set("pair").alias("pairs"))
+    found = once.select(*keys, F.explode("pairs").alias("pair")).join(F.broadcast(known), "pair")
+    return found.groupBy(*keys).agg(*[(F.sum(f"w{k}") + intercepts[k]).alias(f"l{k}") for k in range(n)])
 
 
 def predict(pairs: DataFrame, weights: DataFrame, keys: list[str], least: float = LEAST_PROBABILITY) -> DataFrame:
@@ -216,10 +224,13 @@ def predict(pairs: DataFrame, weights: DataFrame, keys: list[str], least: float
     first = weights.select("intercepts", "temperature").first()
     if first is None:
         return pairs.where("false").select(*keys, F.lit("").alias("family"), F.lit(0.0).alias("probability"))
-    chances = _logits(pairs, weights, list(first["intercepts"]), keys).select(*keys, _softmax(F.col("logits"), first["temperature"]).alias("p"))
-    best = F.array_max(F.slice("p", 2, len(FAMILIES)))
-    named = chances.withColumn("probability", best).where((F.col("probability") >= least) & (F.col("probability") > F.col("p")[0]))
-    place = F.array_position(F.slice("p", 2, len(FAMILIES)), F.col("probability")).cast("int")
+    n = len(FAMILIES)
+    sums = _sums(pairs, weights, list(first["intercepts"]), keys)
+    # Most paragraphs are sooner of no family than of any; chances are taken of the others only.
+    able = sums.where(F.greatest(*[F.col(f"l{k + 1}") for k in range(n)]) > F.col("l0"))
+    chances = able.select(*keys, _softmax(F.array(*[F.col(f"l{k}") for k in range(n + 1)]), first["temperature"]).alias("p"))
+    named = chances.withColumn("probability", F.array_max(F.slice("p", 2, n))).where((F.col("probability") >= least) & (F.col("probability") > F.col("p")[0]))
+    place = F.array_position(F.slice("p", 2, n), F.col("probability")).cast("int")
     return named.select(*keys, F.element_at(F.array(*[F.lit(c) for c in FAMILIES]), place).alias("family"), "probability")
 
 
