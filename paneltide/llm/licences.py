@@ -195,20 +195,15 @@ def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     weights = [(*p.split(" "), [float(x) for x in matrix[:, k]]) for k, p in enumerate(vocabulary) if matrix[:, k].any()]
     learned = spark.createDataFrame(weights, "first string, second string, weights array<double>").withColumn("pair", F.xxhash64("first", "second"))
     kept_out = cut(sample.where("apart").select("n", "label", F.explode("pairs").alias("pair")).withColumn("pair", F.xxhash64(F.split("pair", " ")[0], F.split("pair", " ")[1])))
-    scored = _sums(kept_out, learned, intercepts, ["n", "label"])
-    tried = cut(scored.select("label", F.array(*[F.col(f"l{k}") for k in range(len(intercepts))]).alias("logits"))).withColumn("t", F.explode(F.array(*[F.lit(2 ** (k / 4)) for k in range(-12, 9)])))
-    loss = tried.groupBy("t").agg(F.avg(-F.log(F.greatest(_softmax(F.col("logits"), F.col("t"))[F.col("label").cast("int")], F.lit(1e-12)))).alias("loss"))
+    logits = [F.col(f"l{k}") for k in range(len(intercepts))]
+    scored = cut(_sums(kept_out, learned, intercepts, ["n", "label"]).withColumn("own", F.array(*logits)[F.col("label").cast("int")]))
+    tried = scored.withColumn("t", F.explode(F.array(*[F.lit(2 ** (k / 4)) for k in range(-12, 9)])))
+    loss = tried.groupBy("t").agg(F.avg(F.log(sum(F.exp((x - F.col("own")) / F.col("t")) for x in logits))).alias("loss"))
     best = loss.orderBy("loss", "t").first()
     temperature = best["t"] if best is not None else 1.0
     return learned.withColumn("intercepts", F.array(*[F.lit(x) for x in intercepts])).withColumn("temperature", F.lit(temperature))
 
 
-def _softmax(logits: Column, temperature) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
-
-
 def _sums(pairs: DataFrame, weights: DataFrame, intercepts: list[float], keys: list[str]) -> DataFrame:
     """keys and the logits l0, l1, ... of each group of keys. pairs: keys and pair. The weights are bounded by the training texts."""
     n = len(intercepts)
@@ -224,14 +219,12 @@ def predict(pairs: DataFrame, weights: DataFrame, keys: list[str], least: float
     first = weights.select("intercepts", "temperature").first()
     if first is None:
         return pairs.where("false").select(*keys, F.lit("").alias("family"), F.lit(0.0).alias("probability"))
-    n = len(FAMILIES)
-    sums = _sums(pairs, weights, list(first["intercepts"]), keys)
+    of = [F.col(f"l{k + 1}") for k in range(len(FAMILIES))]
     # Most paragraphs are sooner of no family than of any; chances are taken of the others only.
-    able = sums.where(F.greatest(*[F.col(f"l{k + 1}") for k in range(n)]) > F.col("l0"))
-    chances = able.select(*keys, _softmax(F.array(*[F.col(f"l{k}") for k in range(n + 1)]), first["temperature"]).alias("p"))
-    named = chances.withColumn("probability", F.array_max(F.slice("p", 2, n))).where((F.col("probability") >= least) & (F.col("probability") > F.col("p")[0]))
-    place = F.array_position(F.slice("p", 2, n), F.col("probability")).cast("int")
-    return named.select(*keys, F.element_at(F.array(*[F.lit(c) for c in FAMILIES]), place).alias("family"), "probability")
+    able = _sums(pairs, weights, list(first["intercepts"]), keys).withColumn("best", F.greatest(*of)).where("best > l0")
+    probability = 1 / sum(F.exp((x - F.col("best")) / first["temperature"]) for x in [F.col("l0"), *of])
+    family = F.coalesce(*[F.when(x == F.col("best"), F.lit(c)) for c, x in zip(FAMILIES, of, strict=True)])
+    return able.select(*keys, family.alias("family"), probability.alias("probability")).where(F.col("probability") >= least)
 
 
 def _inner(pairs: DataFrame) -> DataFrame:
