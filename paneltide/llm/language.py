@@ -4,17 +4,18 @@ Each language has a zstandard raw-content dictionary of at most DICTIONARY_BYTES
 at most SAMPLE_TEXTS labelled documents, those whose ids have the lowest hashes. That bound on the sample is all
 that is limited: every text is encoded whole, in chunks, so that the dictionary counts as much at the end of a
 long text as at its beginning. The score compares the best language's size with the next one's; a text is
-rejected where they lie closer than MARGIN. Equal sizes go to the language with more labelled documents. Texts are
-encoded in lower case.
-
-Texts that are null or hold no letter are "und" with score 0 and rejected. Rows are independent of each other, so
-repeated rows get equal results and no shuffle is needed but for the choice of the sample, which keeps
-SAMPLE_TEXTS rows of a language in any task. Without any labelled text all rows are "und".
+rejected where they lie closer than MARGIN. Equal sizes go to the language with more labelled documents (then the
+first by name). Texts are encoded in lower case. Every label is learned; an executor holds a dictionary for each, and
+a text is encoded once with each.
+
+Texts that are null or hold no letter (str.isalpha; numerals and circled digits are none) are "und" with score 0 and rejected. Rows are independent of each other, so
+repeated rows get equal results and no shuffle is needed but for the choice of the sample, which sends
+SPARE * SAMPLE_TEXTS rows of a language to a task, about, however many there are. The kept columns must not be named
+like the three that are added. Without any labelled text all rows are "und".
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +28,8 @@ from .common import fold, table
 
 DICTIONARY_BYTES = 160_000
 SAMPLE_TEXTS = 640
-#: Languages beyond these are not learned; the most frequent are.
-LANGUAGES = 200
+#: Rows of a language that may be ranked for the sample, for each that is taken.
+SPARE = 4
 CHUNK_BYTES = 2_048
 LEVEL = 9
 #: The next language's size must exceed the best one's by this share of it.
@@ -39,19 +40,20 @@ TRACE_BYTES = 64
 HALF = 0.04
 NONE = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", texts: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A raw-content dictionary for each language, from documents that have a text and a language."""
     some = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.trim(text) != ""))
-    known = [r[0] for r in some.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()]
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id", "size"), "id", "size", "start"))
+    counts = some.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    known = [r[0] for r in counts.orderBy(F.desc("n"), "lang").collect()]
+    place = F.xxhash64("id", "size")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(place, "id", "size", "start"))
     share = max(1, size // texts)
     #: A slice of the text, from a place that a hash chooses.
     start = F.pmod(F.xxhash64(F.col(id_column)), F.greatest(F.length(text) - share, F.lit(1))) + 1
-    slices = some.where(F.col(lang).isin(known)).select(F.col(lang).cast("string").alias("lang"), F.col(id_column).alias("id"), F.length(text).alias("size"), F.lower(F.substr(text, start.cast("int"), F.lit(share))).alias("start"))
-    rows = slices.withColumn("rank", rank).where(F.col("rank") <= texts).select("lang", "rank", "start").collect()
+    slices = some.select(F.col(lang).cast("string").alias("lang"), F.col(id_column).alias("id"), F.length(text).alias("size"), F.lower(F.substr(text, start.cast("int"), F.lit(share))).alias("start"))
+    # The lowest hashes of a language lie below a bound that leaves SPARE times as many rows as are wanted, however many it has.
+    low = slices.join(F.broadcast(counts.where(F.col("n") > SPARE * texts)), "lang", "left").where(F.col("n").isNull() | (F.shiftrightunsigned(place, 33) * F.col("n") < float(SPARE * texts << 31))).drop("n")
+    rows = low.withColumn("rank", rank).where(F.col("rank") <= texts).select("lang", "rank", "start").collect()
     out: dict[str, bytes] = {str(name): b"" for name in known}
     for r in sorted(rows, key=lambda r: (r["lang"], -r["rank"])):
         out[r["lang"]] = (out[r["lang"]] + r["start"].encode() + b"\n")[-size:]
@@ -83,7 +85,7 @@ def identify(docs: DataFrame, known: dict[str, bytes], keep: tuple[str, ...] = (
             found, scores, rejected = [], [], []
             for value in batch.column(len(keep)):
                 t = value.as_py()
-                if t is None or not names or not _LETTER.search(t):
+                if t is None or not names or not any(map(str.isalpha, t)):
                     row = (NONE, 0.0, True)
                 else:
                     need = sizes(t.lower().encode("utf-8", "surrogatepass"), coders)
