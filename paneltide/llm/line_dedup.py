@@ -1,7 +1,8 @@
 """Near-duplicate lines through a deletion-neighbourhood join.
 
 A line is its words in lower case. Lines of the same words are equal; lines of at least EDIT_WORDS words are also
-near each other at one edit (a word replaced, added or left out). A line goes if an equal or near one stands earlier
+near each other at one edit (a word replaced, added or left out): an edit similarity of 0.8 or more. One edit makes
+more than a fifth of a shorter line, which so has the edit bound zero. A line goes if an equal or near one stands earlier
 (by document id, then by line number); white-space lines always stay.
 
 Near lines share, after one word is deleted, the same words: each line emits the hash of every such variant, equal
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import WS, WS_CHARS, cut, table
 
-EDIT_WORDS = 10
+EDIT_WORDS = 5
 
 
 def _words(line: Column) -> Column:
