@@ -7,7 +7,8 @@ patterns add a span only for a value that looks live and is not widely copied.
 
 Only DataFrame functions. Texts are read once: the scan's narrow result is written to the shared checkpoint
 folder, and only candidates (never texts) are shuffled. Counts are combined on the map side and go through
-(value, owner, repository), so no task holds all rows of a value; the counts meet the candidates by a salted key.
+(value, owner, repository), so no task holds all rows of a value; the counts meet the candidates in a merge join, whose
+skewed partitions adaptive execution splits.
 
 Null and empty texts have no spans. Rows that repeat an id and text count once and get equal results. A null
 owner is an owner of its own.
@@ -51,7 +52,6 @@ KINDS: list[Kind] = [
 COPIED_OWNERS = 3
 #: Characters that a live-looking value has at least, each counted once.
 LIVE_CHARACTERS = 8
-SALTS = 32
 
 
 def _spans(text: Column, kind: Kind, order: int) -> Column:
@@ -104,12 +104,12 @@ def scan(docs: DataFrame, id_column: str = "doc_id", owner: str = "source", text
         found.where(F.size("spans") > 0)
         .select("id", "text_hash", "owner", "repository", F.explode("spans").alias("s"))
         .withColumn("value_hash", F.xxhash64(F.col("s.value")))
-        .withColumn("salt", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)).cast("int"))
     )
-    counts = ownership(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # The counts grow with the corpus, so they are never broadcast; the join's larger side is split where a value is hot.
+    counts = ownership(each).hint("merge")
     base = F.array(*[F.lit(k.base) for k in KINDS])
     live = F.size(F.array_distinct(F.split(F.col("s.value"), ""))) >= LIVE_CHARACTERS
-    judged = each.join(counts, ["value_hash", "salt"]).withColumn("copied", F.col("n_owners") >= COPIED_OWNERS).withColumn("specific", (F.col("n_owners") == 1) & live)
+    judged = each.join(counts, "value_hash").withColumn("copied", F.col("n_owners") >= COPIED_OWNERS).withColumn("specific", (F.col("n_owners") == 1) & live)
     kept = judged.where(base[F.col("s.kind")] | (live & ~F.col("copied")))
     span = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("copied").alias("copied"), F.col("specific").alias("specific"))
     by_text = kept.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(span)).alias("kept"))
