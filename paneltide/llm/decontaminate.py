@@ -8,7 +8,8 @@ Jaccard similarity of the shingles (weights: how often a shingle stands in the w
 
 A window whose similarity to an item of its length can reach the threshold holds at least threshold * (its shingles)
 shingles that stand in such items; the windows without are passed over before their SimHash is taken. That condition is
-necessary, so nothing is lost by it.
+necessary, so nothing is lost by it; with every=True all windows go to the index, with the same result.
+A text shorter than an item is one window as it is. Of windows of equal similarity the first counts.
 
 Documents are scanned once and never shuffled; copies, hot sources and passages that many documents share cost
 their own scan only. The index goes to the executors in blocks of at most BLOCK_ITEMS items (a proven bound), and
@@ -144,8 +145,10 @@ class Items:
             out[text[place + k <= ends[np.minimum(text, len(ends) - 1)]]] = True
         return np.flatnonzero(out)
 
-    def search(self, h: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-        """(item, first word, words, bits apart, similarity) of the best window for each item that has one."""
+    def search(self, h: np.ndarray, every: bool = False) -> list[tuple[int, int, int, int, float]]:
+        """(item, first word, words, bits apart, similarity) of the best window for each item that has one.
+
+        every: whether all windows go to the index, and not only those that hold shingles enough."""
         best: dict[int, tuple] = {}
         runs = {}
         for k, known in self.known.items():
@@ -157,18 +160,23 @@ class Items:
             runs[k] = (s, places)
         for n, k, ids, own, index, known in self.lengths:
             s, places = runs[k]
-            count = n - k + 1
-            if len(s) < count or not len(places):
+            # A text shorter than the item is one window.
+            count = min(n - k + 1, len(s))
+            needed = self.similarity * (n - k + 1) - 1e-9
+            if count < needed or not (every or len(places)):
                 continue
             # Of the known shingles only those count that items of this very length have.
             at = np.minimum(np.searchsorted(known, s[places]), len(known) - 1)
             hits = places[known[at] == s[places]]
-            if len(hits) < self.similarity * count - 1e-9:
+            if every:
+                starts = np.arange(len(s) - count + 1)
+            elif len(hits) < needed:
                 continue
-            seen = np.zeros(len(s) + 1, np.int64)
-            seen[hits + 1] = 1
-            seen = np.cumsum(seen)
-            starts = np.flatnonzero(seen[count:] - seen[:-count] >= self.similarity * count - 1e-9)
+            else:
+                seen = np.zeros(len(s) + 1, np.int64)
+                seen[hits + 1] = 1
+                seen = np.cumsum(seen)
+                starts = np.flatnonzero(seen[count:] - seen[:-count] >= needed)
             for at in range(0, len(starts), 20_000):
                 some = starts[at : at + 20_000]
                 low, high = int(some[0]), int(some[-1]) + count
@@ -180,10 +188,10 @@ class Items:
                         row = (-alike, begin, int(np.bitwise_count(prints[i] ^ index.prints[j])))
                         if ids[j] not in best or row < best[ids[j]][0]:
                             best[ids[j]] = (row, n)
-        return [(i, row[1], n, row[2], -row[0]) for i, (row, n) in sorted(best.items())]
+        return [(i, row[1], min(n, len(h)), row[2], -row[0]) for i, (row, n) in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, every: bool = False) -> DataFrame:
     """Id, item, place and length of the item's best window in the document, bits apart and similarity; no row without a match."""
     fields = {f.name: f for f in docs.schema.fields}
     schema = T.StructType([fields[id_column], T.StructField(item_column, T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("bits_apart", T.LongType()), T.StructField("similarity", T.DoubleType())])
@@ -205,8 +213,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
                     h, starts = hash_words(b"\n".join(texts))
                     ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
                     own, rows = [], []
-                    for i in wanted.touched(h, ends).tolist():
-                        for found in wanted.search(h[ends[i - 1] if i else 0 : ends[i]]):
+                    for i in range(len(texts)) if every else wanted.touched(h, ends).tolist():
+                        for found in wanted.search(h[ends[i - 1] if i else 0 : ends[i]], every):
                             own.append(i)
                             rows.append(found)
                     columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
