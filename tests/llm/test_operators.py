@@ -177,7 +177,7 @@ def brute_matches(docs, items, k=5, least=0.8):
         w = words((t or "").lower())
         for i, x in items:
             v = words((x or "").lower())
-            for s in range(len(w) - len(v) + 1 if v else 0):
+            for s in range(max(len(w) - len(v), 0) + 1 if v and w else 0):
                 a, b = bag(w[s : s + len(v)]), bag(v)
                 both = sum((a & b).values())
                 if both / (sum(a.values()) + sum(b.values()) - both) >= least - 1e-12:
@@ -192,6 +192,12 @@ def test_decontamination(spark, docs, none):
     got = decontaminate.contaminated(docs, bench).collect()
     want = brute_matches([(i, t) for i, t, _, _ in TEXTS], [x for x in items if x[0] != 7])
     assert {(r["doc_id"], r["item_id"]): pytest.approx(r["similarity"]) for r in got} == want and (8, 1) in want and (8, 2) in want
+    cut = " ".join(long[100:139])  # the item less its last word, and a text too short to be near it
+    short = spark.createDataFrame([(1, cut), (2, " ".join(long[100:125])), (3, cut + " and more")], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): pytest.approx(r["similarity"]) for r in decontaminate.contaminated(short, bench).collect()}
+    assert found == brute_matches([(1, cut), (2, " ".join(long[100:125])), (3, cut + " and more")], [x for x in items if x[0] != 7]) and (1, 1) in found and (2, 1) not in found
+    every = decontaminate.contaminated(docs.unionByName(short, allowMissingColumns=True), bench, every=True).collect()
+    assert {tuple(r) for r in every} == {tuple(r) for d in (docs, short) for r in decontaminate.contaminated(d, bench).collect()}
     assert decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
@@ -273,12 +279,39 @@ def test_secrets_copied_or_owned(spark):
     assert got[1]["spans"] == "github:0:24" and got[1]["n_owner_specific"] == 1 and got[2]["spans"] == ""
 
 
+def plain_language(asked, known, got):
+    """Each row against sizes by zstandard, dictionary by dictionary."""
+    import zstandard
+
+    for r in asked.where("doc_id < 6").collect():
+        if got[r["doc_id"]]["lang_pred"] == "und":
+            continue
+        need = {}
+        for name, data in known.items():
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=language.LEVEL)
+            coder = zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            body = r["text"].lower().encode()
+            need[name] = sum(len(coder.compress(body[i : i + language.CHUNK_BYTES])) for i in range(0, len(body), language.CHUNK_BYTES))
+        first, second = sorted(need.values())[:2]
+        gap = (second - first) / first
+        assert need[got[r["doc_id"]]["lang_pred"]] == first and got[r["doc_id"]]["score"] == pytest.approx(gap / (gap + language.HALF))
+
+
+def test_every_language_is_learned(spark):
+    """More labels than any earlier bound, one of them with far more rows than the sample takes."""
+    rows = [(k, f"text {k} of label {k % 300}", f"l{k % 300:03}") for k in range(600)] + [(1000 + k, f"more {k} of it", "l000") for k in range(400)]
+    known = language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), texts=20)
+    assert len(known) == 300 and all(known.values()) and known["l000"].count(b"\n") == 20
+
+
 def test_language(spark, docs, none):
     learn = spark.createDataFrame([(k, " ".join(np.random.default_rng(k).permutation(v.split() * 5)), lang) for k in range(20) for lang, v in (("en", "the of and with this that from which thing"), ("de", "der die und nicht mit über wird eine keit"))], "doc_id long, text string, lang string")
     known = language.dictionaries(learn)
-    asked = spark.createDataFrame([(1, "which of the thing with that and this from"), (2, "die keit wird nicht über und mit der eine"), (3, None), (4, "123 !!"), (5, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "which of the thing with that and this from"), (2, "die keit wird nicht über und mit der eine"), (3, None), (4, "123 !!"), (5, ""), (6, "½ ² ① Ⅷ 12"), (7, "7 é 7")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in language.identify(asked, known).collect()}
-    assert [got[k]["lang_pred"] for k in range(1, 6)] == ["en", "de", "und", "und", "und"]
+    assert [got[k]["lang_pred"] for k in range(1, 7)] == ["en", "de", "und", "und", "und", "und"] and got[7]["lang_pred"] != "und"
+    plain_language(asked, known, got)
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[3]["rejected"] and not got[1]["rejected"]
     assert {r["lang_pred"] for r in language.identify(docs, {}).collect()} == {"und"}
     assert language.dictionaries(none) == {} and language.identify(none, known).count() == 0
@@ -292,6 +325,8 @@ def test_line_dedup(docs, none, spark):
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(d).collect()}
     # 4 is near 3 and not near 1; 3 stands earlier. 2 keeps its blank line but no words, so it goes.
     assert out == {1: a + "\nshort one", 5: None, 6: "\n"}
+    brief = [(1, "a line of six words here\nfour words are here"), (2, "a line of five words here\nfour words were here")]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(brief, "doc_id long, text string")).collect()} == {1: brief[0][1], 2: "four words were here"}
     assert line_dedup.dedup_lines(none).count() == 0
     kept = {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect()}
     assert kept == {1, 4, 5, 6, 7, 8, None, 9} and line_dedup.dedup_lines(docs).columns == docs.columns

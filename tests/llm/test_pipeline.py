@@ -65,6 +65,19 @@ def test_planted_cases(spark, tmp_path):
     assert ran == {i: r["taken"] for i, r in mixed.items()}
 
 
+def test_rows_of_one_id_and_of_none(spark, tmp_path):
+    """Different texts of one id, or of null id, are documents of their own; equal rows and near copies are not."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c = prose(1, "en", 90), prose(2, "en", 90), prose(3, "en", 90)
+    near = " ".join([*a.split()[:50], "other", *a.split()[51:]])
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [(1, a), (1, b), (1, b), (None, c), (None, near), (2, near), (3, None), (4, "")]], schema)
+    kept = corpus_pipeline.dedup_documents(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept) == sorted([(1, a), (1, b), (-1, c), (3, "")])
+    spark.createDataFrame([(7, b)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in clean) == sorted([(1, a), (-1, c), (-1, near), (2, near), (3, ""), (4, "")])
+
+
 def test_names_and_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "benchmark", "mixing"]
     assert corpus_pipeline.ORACLE_SQL is None and quality_rules.mask("base") == 3
