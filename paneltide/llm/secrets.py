@@ -113,7 +113,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", owner: str = "source", text
     kept = judged.where(base[F.col("s.kind")] | (live & ~F.col("copied")))
     span = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("copied").alias("copied"), F.col("specific").alias("specific"))
     by_text = kept.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(span)).alias("kept"))
-    out = found.join(by_text, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    out = found.join(by_text.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
     always = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
     count = lambda of: F.coalesce(F.size(F.filter("kept", lambda s: s[of])), F.lit(0)).cast("long")
     return out.select(
