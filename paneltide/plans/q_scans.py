@@ -78,7 +78,7 @@ def _(spark, d):
     return i.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), validation.adaptive_max_holding(F.col("o_totalprice") % 120, (F.col("o_orderkey") % 30).cast("double")).alias("days"))
 
 
-@query("j10_nearest_date", i.TYPES + ", q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS q FROM orders WHERE o_orderkey % 50 = 0), c AS (SELECT DISTINCT date FROM px) SELECT q, min_by(date, (abs(date - q), date)) AS date FROM q JOIN c ON c.date BETWEEN q - 30 AND q + 30 GROUP BY q", dates="q date")
+@query("j10_nearest_date", i.TYPES + ", q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS q FROM orders), c AS (SELECT DISTINCT date FROM px) SELECT q, min_by(date, (abs(date - q), date)) AS date FROM q JOIN c ON c.date BETWEEN q - 30 AND q + 30 GROUP BY q", dates="q date")
 def _(spark, d):
     asked = i.read(spark, d, "orders").select(F.to_date("o_orderdate").alias("q")).distinct()
     near = asked.withColumn("date", F.explode(F.sequence(F.date_sub("q", 30), F.date_add("q", 30)))).join(panels.calendar(i.types(spark, d)), "date")

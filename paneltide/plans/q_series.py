@@ -125,7 +125,7 @@ def _(spark, d):
     return w.zscore(_spread(spark, d), lookback=None, least=20).select(*P, "date", r6("z"))
 
 
-@query("w4_adaptive_zscore", T + ", lb AS (SELECT *, CAST(30 + (length(leg_x) * 7 + length(leg_y)) % 30 AS INT) AS n, row_number() OVER (PARTITION BY leg_x, leg_y ORDER BY date) AS rn FROM sp), q AS (SELECT a.leg_x, a.leg_y, a.date, a.spread, avg(b.spread) AS mu, stddev_samp(b.spread) AS sd, count(b.spread) AS c FROM lb a JOIN lb b ON a.leg_x = b.leg_x AND a.leg_y = b.leg_y AND b.rn BETWEEN a.rn - a.n + 1 AND a.rn WHERE a.rn <= 300 GROUP BY ALL) SELECT leg_x, leg_y, date, round(CASE WHEN c >= 30 AND sd > 0 THEN (spread - mu) / sd END, 6) AS z FROM q", dates="date")
+@query("w4_adaptive_zscore", T + ", lb AS (SELECT *, CAST(30 + (length(leg_x) * 7 + length(leg_y)) % 30 AS INT) AS n, row_number() OVER (PARTITION BY leg_x, leg_y ORDER BY date) AS rn FROM sp), q AS (SELECT a.leg_x, a.leg_y, a.date, a.spread, avg(b.spread) AS mu, stddev_samp(b.spread) AS sd, count(b.spread) AS c FROM lb a JOIN lb b ON a.leg_x = b.leg_x AND a.leg_y = b.leg_y AND b.rn BETWEEN a.rn - a.n + 1 AND a.rn GROUP BY ALL) SELECT leg_x, leg_y, date, round(CASE WHEN c >= 30 AND sd > 0 THEN (spread - mu) / sd END, 6) AS z FROM q", dates="date")
 def _(spark, d):
     s = _spread(spark, d).withColumn("n", (30 + (F.length("leg_x") * 7 + F.length("leg_y")) % 30).cast("int"))
     return w.adaptive_zscore(s, "spread", "n", 30, 60).select(*P, "date", r6("z"))

@@ -225,7 +225,7 @@ def _(spark, d):
     return _v(spark, d).select("k", r6(s.pair_score(c("f"), c("a"), c("f"), c("b") - 6, c("b"), c("h").cast("double"), F.lit(1.0)), "score"))
 
 
-@query("p10_excluded_reasons", S + " SELECT k, CASE WHEN h % 9 = 0 THEN 'pvalue:None' WHEN h % 9 = 8 THEN 'pvalue:0.5' WHEN h % 7 = 0 THEN 'half_life:None' WHEN a < 5 THEN 'half_life_low:' || format('{:.1f}', a) WHEN a > 60 THEN 'half_life_high:' || format('{:.1f}', a) WHEN b < 4 THEN 'spread_range_low:' || format('{:.1f}', b) END AS reason FROM v WHERE round(a * 100) % 10 <> 5 AND round(b * 100) % 10 <> 5")
+@query("p10_excluded_reasons", S + " SELECT k, CASE WHEN h % 9 = 0 THEN 'pvalue:None' WHEN h % 9 = 8 THEN 'pvalue:0.5' WHEN h % 7 = 0 THEN 'half_life:None' WHEN a < 5 THEN 'half_life_low:' || format('{:.1f}', a) WHEN a > 60 THEN 'half_life_high:' || format('{:.1f}', a) WHEN b < 4 THEN 'spread_range_low:' || format('{:.1f}', b) END AS reason FROM v")
 def _(spark, d):
     v = _v(spark, d)
     p = F.when(F.col("h") % 9 == 0, None).when(F.col("h") % 9 == 8, 0.5).otherwise(0.01)

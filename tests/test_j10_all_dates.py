@@ -1,4 +1,4 @@
-"""Every order date is answered. Brute force, as the SQL still asks for every fiftieth order only."""
+"""Every order date is answered. Brute force, beside the SQL."""
 
 import os
 

@@ -1,4 +1,4 @@
-"""Every order has a row, halfway values too. Brute force, as the SQL still leaves those out."""
+"""Every order has a row, halfway values too. Brute force, beside the SQL."""
 
 import os
 
