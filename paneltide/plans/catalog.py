@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import estimators, pairs
-from . import inputs, q_panels, q_scans, q_series, q_trades  # noqa: F401  they register their queries
+from . import inputs, q_lookups, q_panels, q_scans, q_series, q_trades  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

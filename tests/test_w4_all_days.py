@@ -1,4 +1,4 @@
-"""All days have a score. Brute force, as the SQL still ends at the 300th day."""
+"""All days have a score. Brute force, beside the SQL."""
 
 import datetime
 import math
