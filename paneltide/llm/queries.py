@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, language_model, licences, line_dedup, mixing, quality_rules, secrets, simhash, url_rules
+from . import collocations, decontaminate, fill_middle, fingerprint, language, language_model, licences, line_dedup, mixing, quality_rules, secrets, simhash, url_rules
 
 QUERIES = {
     "op1_language_model": language_model.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_url_rules": url_rules.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_fill_middle": fill_middle.query,
+    "op12_collocations": collocations.query,
+    "op13_fingerprint": fingerprint.query,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
@@ -22,4 +25,6 @@ ORACLES = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_url_rules": url_rules.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
