@@ -2,8 +2,8 @@
 
 A text's shingles of five words (fewer words: the whole sequence) are hashed once. The top bits of a hash name one of
 BINS bins, and each bin keeps its least hash. An empty bin takes the value of another, which its own sequence of attempts
-finds: bin and attempt give the next place (double hashing, so each sequence differs and reaches all bins). Of each
-value the low eight bits are kept, packed. Of two texts of Jaccard similarity J, a share J + (1 - J) / 256 of the bins
+finds: a permutation of bin and attempt gives the place (each sequence differs and reaches all bins). Of each value the
+low eight bits are kept, packed. Of two texts of Jaccard similarity J, a share J + (1 - J) / 256 of the bins
 agree; likeness() solves that for J.
 
 Only DataFrame functions. The hashes of a text are sorted within its row, where the first of each run of equal top bits
@@ -20,6 +20,7 @@ first; a single one follows itself.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,8 +39,10 @@ RANGE_ROWS = 100_000
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
     """Hashes of the word shingles, A-Z in lower case, repeats included."""
     each = F.transform(words(F.translate(text, UPPER, LOWER)), lambda w: F.xxhash64(w))
-    starts = lambda h: F.when(F.size(h) > 0, F.sequence(F.lit(1), F.greatest(F.size(h) - (shingle - 1), F.lit(1))))
-    return let(each, lambda h: F.coalesce(F.transform(starts(h), lambda i: F.xxhash64(F.slice(h, i, F.lit(shingle)))), F.array().cast("array<bigint>")))
+    starts = lambda h: F.when(F.size(h) > 0, F.sequence(F.lit(0), F.greatest(F.size(h) - shingle, F.lit(0))))
+    # Places beyond the last word are null, which the hash passes over.
+    gram = lambda h, i: F.xxhash64(*[F.get(h, i + k) for k in range(shingle)])
+    return let(each, lambda h: F.coalesce(F.transform(starts(h), lambda i: gram(h, i)), F.array().cast("array<bigint>")))
 
 
 def least_by_bin(hashes: Column, bins: int = BINS) -> Column:
@@ -57,25 +60,28 @@ def least_by_bin(hashes: Column, bins: int = BINS) -> Column:
     return let(runs, spread)
 
 
-def densified(least: Column, bins: int = BINS) -> Column:
-    """The places filled from each other; all null if all were."""
-    step = lambda j, seed: F.xxhash64(j, F.lit(seed))
+def attempts(bins: int = BINS) -> tuple[list[int], list[int]]:
+    """Permutations of the bins: places, and for each attempt what a bin's number is xored with before it looks there."""
+    by = lambda name: sorted(range(bins), key=lambda k: hashlib.sha256(f"{name}:{k}".encode()).digest())
+    return by("place"), by("attempt")
 
-    def borrowed(table: Column, j: Column) -> Column:
-        way = F.struct(F.pmod(step(j, 1), F.lit(bins)).cast("int").alias("at"), (F.pmod(step(j, 2), F.lit(bins // 2)) * 2 + 1).cast("int").alias("by"))
-        return let(way, lambda x: F.coalesce(*[F.get(table, (x["at"] + x["by"] * t).bitwiseAND(bins - 1)) for t in range(bins)]))
 
-    return let(least, lambda m: F.transform(m, lambda x, j: F.when(x.isNotNull(), x).otherwise(borrowed(m, j))))
+def densified(least: Column, bins: int = BINS) -> Column:
+    """The places filled from each other; all null if all were."""
+    places, masks = attempts(bins)
+    table = F.array(*map(F.lit, places))
+    borrowed = lambda m, j: [F.get(m, F.get(table, j.bitwiseXOR(mask))) for mask in masks]
+    return let(least, lambda m: F.transform(m, lambda x, j: F.coalesce(x, *borrowed(m, j))))
 
 
 def packed(values: Column, bits: int = KEPT_BITS) -> Column:
-    """The low bits of each value, as hex digits; zeros for nulls."""
+    """The low bits of each value, as bytes; zeros for nulls."""
     digits = bits // 4
-    return F.lower(F.array_join(F.transform(values, lambda x: F.lpad(F.hex(F.coalesce(x, F.lit(0)).bitwiseAND((1 << bits) - 1)), digits, "0")), ""))
+    return F.unhex(F.array_join(F.transform(values, lambda x: F.lpad(F.hex(F.coalesce(x, F.lit(0)).bitwiseAND((1 << bits) - 1)), digits, "0")), ""))
 
 
 def fingerprint(text: Column, bins: int = BINS, bits: int = KEPT_BITS, shingle: int = SHINGLE) -> Column:
-    """Hex digits of bins places of bits bits (four or eight)."""
+    """Bytes that hold bins places of bits bits (four or eight)."""
     return packed(densified(least_by_bin(shingle_hashes(text, shingle), bins), bins), bits)
 
 
@@ -83,9 +89,9 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = KEPT_BITS) -> C
     """The Jaccard similarity that two fingerprints tell, from 0 to 1, without the agreement that chance makes."""
     digits = bits // 4
     chance = 2.0**-bits
-    zero = F.lit("0" * (bins * digits))
+    zero = F.lit(bytes(bins * bits // 8))
     at = lambda x, i: F.substring(x, i, F.lit(digits))
-    both = F.struct(F.encode(a, "US-ASCII").alias("a"), F.encode(b, "US-ASCII").alias("b"))
+    both = F.struct(F.encode(F.hex(a), "US-ASCII").alias("a"), F.encode(F.hex(b), "US-ASCII").alias("b"))
     agree = let(both, lambda x: F.size(F.filter(F.sequence(F.lit(1), F.lit(bins * digits), F.lit(digits)), lambda i: at(x["a"], i) == at(x["b"], i))))
     return F.when(a == b, F.lit(1.0)).when((a == zero) | (b == zero), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (agree / bins - chance) / (1 - chance)))
 
@@ -128,15 +134,16 @@ def edited(docs: DataFrame, share: int = 4, id_column: str = "doc_id", text: str
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op13: all documents, their edited texts, and both likenesses."""
     rows = edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    made = rows.select("id", "name", "text_hash", "n_name", "n_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
+    made = rows.select("id", "name", "text_hash", "n_name", "n_hash", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
     kept = written(made)
     after = kept.select(F.col("name").alias("n_name"), F.col("text_hash").alias("n_hash"), F.col("fingerprint").alias("next")).dropDuplicates(["n_name", "n_hash"])
+    digits = lambda c: F.lower(F.hex(c))
     return kept.join(after, ["n_name", "n_hash"]).select(
         F.col("id").alias("doc_id"),
         "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
+        digits("sha256").alias("edited_sha256"),
+        digits("fingerprint").alias("fingerprint"),
+        digits("edited_fingerprint").alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
     )

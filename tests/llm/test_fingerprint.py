@@ -42,13 +42,8 @@ def plain_fingerprint(text):
         least[k] = h if least[k] is None else min(least[k], h)
     if not any(x is not None for x in least):
         return "0" * (2 * BINS)
-    hash2 = lambda j, seed: signed(xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(struct.pack("<i", j), 42)))
-    full = []
-    for j, x in enumerate(least):
-        at, by = hash2(j, 1) % BINS, hash2(j, 2) % (BINS // 2) * 2 + 1
-        while x is None:
-            x, at = least[at], (at + by) % BINS
-        full.append(x)
+    places, masks = fingerprint.attempts()
+    full = [x if x is not None else next(y for y in (least[places[j ^ m]] for m in masks) if y is not None) for j, x in enumerate(least)]
     return "".join(f"{x & 255:02x}" for x in full)
 
 
@@ -86,7 +81,7 @@ def test_documents_and_edited_texts(frame):
         want[place] = text[: len(text) - gives] + order[(k + 1) % len(order)][1][:gives]
     for r in got:
         assert r["edited"] == want[key(r["id"], r["text"])] and r["n_chars"] == len(r["text"])
-        assert r["fp"] == plain_fingerprint(r["text"])
+        assert r["fp"].hex() == plain_fingerprint(r["text"])
 
 
 def test_one_document_and_none(frame):
@@ -119,6 +114,13 @@ def test_query_and_digests(spark, tmp_path, frame):
     assert by[100]["near_next"] < 0.05
 
 
+def test_attempts_reach_all_bins_and_differ():
+    places, masks = fingerprint.attempts()
+    ways = [tuple(places[j ^ m] for m in masks) for j in range(BINS)]
+    assert all(sorted(w) == list(range(BINS)) for w in ways) and len(set(ways)) == BINS
+    assert [sorted(w[t] for w in ways) for t in range(BINS)] == [list(range(BINS))] * BINS
+
+
 def test_likeness_is_near_the_true_similarity(spark):
     rows, want = [], []
     for k in range(60):
@@ -133,4 +135,4 @@ def test_likeness_is_near_the_true_similarity(spark):
     off = np.array([r["x"] for r in got]) - np.array(want)
     assert abs(off.mean()) < 0.01 and np.abs(off).max() < 0.13 and np.sqrt((off**2).mean()) < 0.04
     for r in df.limit(3).select(fingerprint.fingerprint(F.col("a")).alias("x"), fingerprint.fingerprint(F.col("b"), 64, 4).alias("y")).collect():
-        assert len(r["x"]) == 2 * BINS and len(r["y"]) == 64
+        assert len(r["x"]) == BINS and len(r["y"]) == 32
