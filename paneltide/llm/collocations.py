@@ -4,15 +4,17 @@ Words are counted per language within pieces of text. Each shard (some texts of
 ids; prefix doubling in numpy sorts its suffixes by their first words, and the intervals of the longest common prefixes
 of neighbours in that order are its n-grams with their counts. Spark sums the counts of all shards by language and phrase.
 
-A phrase is as rare as its rarest word at least, so a first pass counts words only, and in the second the words below the
-least count end phrases as piece ends do. The first pass comes to the tasks as a bitmap of hashes of a fixed size
-(BITMAP_BITS, 4 MB): a word that it lets through by chance costs rows in the shuffle and changes no count.
+A phrase is as rare as its rarest pair of neighbours at least. A first pass counts words and pairs by their hash alone (12
+bytes a row); in the second, the words below the least count are left out, and the pairs below it end phrases as piece
+ends do, so that hardly any rare phrase is spelled out and shuffled. The first pass comes to the tasks as a bitmap of
+hashes of a fixed size (BITMAP_BITS, 16 MB): what it lets through by chance costs rows in the shuffle and changes no
+count. Once words and pairs of the least count come near BITMAP_BITS in number, it lets most through.
 
 Sums, scores and the choice of phrases are DataFrame functions. Phrases meet their parts in plain joins by language and
 phrase, of rows that each have the least count; counts and products are decimals, so no product overflows.
 
-Memory of a task: an Arrow batch, and the arrays of SHARD_BYTES of texts (a longer text is a shard by itself, sorted in
-blocks of BLOCK words). Null texts are empty; null languages are `und`. Repeated rows count each time. Equal scores and
+Memory of a task: an Arrow batch, the bitmap, and the arrays of SHARD_BYTES of texts (a longer text is a shard by itself,
+sorted in blocks of BLOCK words). Null texts are empty; null languages are `und`. Repeated rows count each time. Equal scores and
 counts rank by the phrase's UTF-8 bytes. Without texts there are no rows.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -29,16 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import table, written
+from .tokens import mix64
 
 LONGEST, AT_LEAST, FIRST = 4, 30, 2_000
 #: A phrase goes if it lies in a longer one that has this percent of its count or more.
 WITHIN = 80
 SCALE = 2_000_000
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
-SHARD_BYTES, BLOCK = 1 << 24, 1 << 21
-BITMAP_BITS, _BITS_EACH = 1 << 25, 1 << 15
+SHARD_BYTES, BLOCK = 1 << 22, 1 << 19
+BITMAP_BITS, _BITS_EACH = 1 << 27, 1 << 15
 NONE = "und"
-COUNTS = "lang string, phrase string, words int, f long"
+COUNTS, KEYS = "lang string, phrase string, words int, f long", "key long, f long"
 
 # Piece ends become a byte that no UTF-8 text holds, A-Z become a-z.
 _MARK = 255
@@ -63,13 +67,14 @@ def word_ids(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]
 
 
 def intervals(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each n up to longest: a place of each distinct n-gram, and how often it stands in ids. Zeros end phrases.
+    """For each n from 2 to longest: a place of each distinct n-gram, and how often it stands in ids. Zeros end phrases.
 
     The last longest - 1 ids only continue phrases that begin before them."""
     size = len(ids) - longest + 1
     padded = np.concatenate((ids, np.zeros(2 * longest, dtype=np.int64)))
-    ends = np.where(padded == 0, np.arange(len(padded)), len(padded))
-    room = np.minimum(np.minimum.accumulate(ends[::-1])[::-1] - np.arange(len(padded)), longest)
+    place = np.arange(len(padded), dtype=np.int32)
+    ends = np.where(padded == 0, place, np.int32(len(padded)))
+    room = np.minimum(np.minimum.accumulate(ends[::-1])[::-1] - place, longest)
     ranks, h = {1: padded}, 1
     while h < longest:
         low = ranks[h]
@@ -79,86 +84,143 @@ def intervals(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray,
         key[room <= h] = low[room <= h] * (int(low.max()) + 1)
         h *= 2
         ranks[h] = np.unique(key, return_inverse=True)[1].astype(np.int64) if h < longest else key
-    places = np.flatnonzero(padded[:size])
+    places = np.flatnonzero(room[:size] > 1)
     order = places[np.argsort(ranks[h][places])]
     if not len(order):
         return
     a, b = order[:-1], order[1:]
-    common = np.zeros(len(a), dtype=np.int64)
+    common = np.zeros(len(a), dtype=np.int32)
     for step in sorted(ranks, reverse=True):
         same = ranks[step][a + common] == ranks[step][b + common]
-        common += np.where(same & (common + step <= longest), step, 0)
+        common += np.where(same & (common + step <= longest), step, 0).astype(np.int32)
     common = np.minimum(np.minimum(common, room[a]), room[b])
-    for n in range(1, longest + 1):
+    for n in range(2, longest + 1):
         heads = np.flatnonzero(np.concatenate(([True], common < n)))
         sizes = np.diff(heads, append=len(order))
         enough = room[order[heads]] >= n
         yield n, order[heads[enough]], sizes[enough]
 
 
-def _known(lang: str, words: pa.Array, bitmap: np.ndarray) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    at = np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()], dtype=np.uint64) & np.uint64(BITMAP_BITS - 1)
+class Shard:
+    """Texts as ids of (language, word), from one on, with the hash of each."""
+
+    def __init__(self, langs: list[str], texts: list[bytes]) -> None:
+        words, index, starts, self.begins = word_ids(b"\n".join(texts))
+        first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        names = sorted(set(langs))
+        code = {name: k for k, name in enumerate(names)}
+        lang = np.array([code[x] for x in langs])[np.searchsorted(first, starts, side="right") - 1]
+        ids, pairs = pd.factorize(lang * max(len(words), 1) + index)
+        self.ids = ids.astype(np.int64) + 1
+        self.lang, self.word = pa.array(names).take(pairs // max(len(words), 1)), words.take(pairs % max(len(words), 1))
+        self.counts = np.bincount(self.ids, minlength=len(pairs) + 1)[1:]
+        self.totals = pa.array(names), np.bincount(lang, minlength=len(names))
+        seeds = {name: xxhash.xxh64_intdigest(name.encode(), 42) for name in names}
+        self.hash = np.array([0, *(xxhash.xxh64_intdigest(w, seeds[x]) for w, x in zip(self.word.to_pylist(), self.lang.to_pylist(), strict=True))], dtype=np.uint64)
+        # Whether a word continues the piece of the one before.
+        self.joined = ~self.begins
+
+    def pair_hash(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return mix64(self.hash[first] * np.uint64(0x9E3779B97F4A7C15) + self.hash[second])
+
+    def keep(self, bitmap: np.ndarray) -> None:
+        """Leaves out rare words, and parts rare pairs."""
+        good = _has(bitmap, self.hash)
+        good[0] = False
+        at = np.flatnonzero(self.joined)
+        self.joined[at] = _has(bitmap, self.pair_hash(self.ids[at - 1], self.ids[at])) & good[self.ids[at]] & good[self.ids[at - 1]]
+        self.counts = np.where(good[1:], self.counts, 0)
+
+    def blocks(self, longest: int) -> Iterator[np.ndarray]:
+        """Ids of the words that have a neighbour, with zeros between phrases, in pieces that overlap by longest - 1."""
+        part = self.joined.copy()
+        part[:-1] |= self.joined[1:]
+        ids, joined = self.ids[part], self.joined[part]
+        if len(ids):
+            at = np.arange(len(ids)) + np.cumsum(~joined)
+            line = np.zeros(int(at[-1]) + longest, dtype=np.int64)
+            line[at] = ids
+            for k in range(0, len(line) - longest + 1, BLOCK):
+                yield line[k : k + BLOCK + longest - 1]
+
+    def keys(self) -> Iterator[pa.RecordBatch]:
+        """Counts of words and pairs by hash."""
+        yield _batch(KEYS, self.hash[1:].view(np.int64), self.counts)
+        for block in self.blocks(2):
+            for _, places, f in intervals(block, 2):
+                yield _batch(KEYS, self.pair_hash(block[places], block[places + 1]).view(np.int64), f)
+
+    def phrases(self, longest: int) -> Iterator[pa.RecordBatch]:
+        """Counts of words and phrases; with zero words, of all words of a language."""
+        names, totals = self.totals
+        yield _batch(COUNTS, names, pa.array([""] * len(names)), np.zeros(len(names), np.int32), totals)
+        kept = np.flatnonzero(self.counts)
+        yield _batch(COUNTS, self.lang.take(kept), self.word.take(kept), np.ones(len(kept), np.int32), self.counts[kept])
+        for block in self.blocks(longest):
+            for n, places, f in intervals(block, longest):
+                parts = [self.word.take(block[places + i] - 1) for i in range(n)]
+                phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+                yield _batch(COUNTS, self.lang.take(block[places] - 1), phrase, np.full(len(f), n, np.int32), f)
+
+
+def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(BITMAP_BITS - 1)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _batch(lang: pa.Array, phrase: pa.Array, words: int, f: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(f), words, np.int32)), pa.array(f.astype(np.int64))], names=["lang", "phrase", "words", "f"])
+def _batch(schema: str, *columns: pa.Array | np.ndarray) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
-def shard_counts(langs: list[str], texts: list[bytes], longest: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Counts of all n-grams of the texts by language; of those of known words only, if there is a bitmap. Zero words: all."""
-    words, index, starts, begins = word_ids(b"\n".join(texts))
-    if not len(index):
-        return
-    first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    names = sorted(set(langs))
-    code = {name: k for k, name in enumerate(names)}
-    lang = np.array([code[x] for x in langs])[np.searchsorted(first, starts, side="right") - 1]
-    yield _batch(pa.array(names), pa.array([""] * len(names)), 0, np.bincount(lang, minlength=len(names)))
-    # Ids tell words of different languages apart; zero is left to what ends a phrase.
-    pairs, ids = np.unique(lang * len(words) + index, return_inverse=True)
-    pair_lang, pair_word = pairs // len(words), pairs % len(words)
-    ids = ids.astype(np.int64) + 1
-    if bitmap is not None:
-        good = np.concatenate([_known(names[k], words.take(pair_word[pair_lang == k]), bitmap) for k in range(len(names))])
-        ids[~good[ids - 1]] = 0
-    at = np.arange(len(ids)) + np.cumsum(begins)
-    line = np.zeros(int(at[-1]) + longest, dtype=np.int64)
-    line[at] = ids
-    for k in range(0, len(line) - longest + 1, BLOCK):
-        block = line[k : k + BLOCK + longest - 1]
-        for n, places, f in intervals(block, longest):
-            parts = [words.take(pair_word[block[places + i] - 1]) for i in range(n)]
-            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if n > 1 else parts[0]
-            yield _batch(pa.array(names).take(pair_lang[block[places] - 1]), phrase.cast(pa.string()), n, f)
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+    for batch in batches:
+        langs, texts, size = [], [], 0
+        for of, value in zip(batch.column(0), batch.column(1), strict=True):
+            data = value.as_buffer().to_pybytes()
+            if texts and size + len(data) > SHARD_BYTES:
+                yield Shard(langs, texts)
+                langs, texts, size = [], [], 0
+            langs.append(of.as_py())
+            texts.append(data)
+            size += len(data)
+        if texts:
+            yield Shard(langs, texts)
+
+
+def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NONE)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def key_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """key, f: counts of words and pairs by hash. Two of the same hash are counted together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches):
+            yield from shard.keys()
+
+    return _rows(docs, text, lang).mapInArrow(run, KEYS).groupBy("key").agg(F.sum("f").alias("f"))
 
 
 def counts(docs: DataFrame, longest: int, bitmap: bytes | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, phrase, words, f of all phrases of up to longest words; with zero words each language's number of words."""
+    """lang, phrase, words, f of all phrases of up to longest words; with zero words each language's number of words.
+    bitmap: as bitmap_of() gives it, to pass over the words and pairs that it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bitmap is None else np.frombuffer(bitmap, dtype=np.uint8)
-        for batch in batches:
-            langs, texts, size = [], [], 0
-            for of, value in zip(batch.column(0), batch.column(1), strict=True):
-                data = value.as_buffer().to_pybytes()
-                if texts and size + len(data) > SHARD_BYTES:
-                    yield from shard_counts(langs, texts, longest, known)
-                    langs, texts, size = [], [], 0
-                langs.append(of.as_py())
-                texts.append(data)
-                size += len(data)
-            yield from shard_counts(langs, texts, longest, known)
-
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NONE)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-
-
-def bitmap_of(words: DataFrame) -> bytes:
-    """Bits at the hashes of language and phrase; comes to the driver as BITMAP_BITS bits at most."""
-    at = F.pmod(F.xxhash64("lang", "phrase"), F.lit(BITMAP_BITS)) + 1
-    parts = words.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        for shard in _shards(batches):
+            if known is not None:
+                shard.keep(known)
+            yield from shard.phrases(longest)
+
+    return _rows(docs, text, lang).mapInArrow(run, COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+
+
+def bitmap_of(keys: DataFrame) -> bytes:
+    """Bits at the low bits of each key; comes to the driver as BITMAP_BITS bits at most."""
+    at = F.col("key").bitwiseAND(F.lit(BITMAP_BITS - 1)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros((BITMAP_BITS // _BITS_EACH, _BITS_EACH // 8), dtype=np.uint8)
     for part, bits in parts.collect():
         out[part - 1] = np.frombuffer(bits, dtype=np.uint8)
@@ -167,8 +229,9 @@ def bitmap_of(words: DataFrame) -> bytes:
 
 def frequent(docs: DataFrame, longest: int = LONGEST, at_least: int = AT_LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
     """As counts(), of the phrases that stand at_least times or more."""
-    words = counts(docs, 1, None, text, lang).where((F.col("words") == 1) & (F.col("f") >= at_least))
-    return written(counts(docs, longest, bitmap_of(words), text, lang).where((F.col("words") == 0) | (F.col("f") >= at_least)))
+    enough = F.col("f") >= at_least
+    bitmap = bitmap_of(key_counts(docs, text, lang).where(enough))
+    return written(counts(docs, longest, bitmap, text, lang).where((F.col("words") == 0) | enough))
 
 
 def _part(phrase: Column, first: Column, size: Column) -> Column:

@@ -73,22 +73,25 @@ def test_counts_do_not_depend_on_blocks_or_shards(spark, monkeypatch):
                 shards.append([])
             shards[-1].append(((t or "").encode(), lang or "und"))
         for shard in shards:
-            for batch in collocations.shard_counts([x for _, x in shard], [x for x, _ in shard], 4, None):
+            for batch in collocations.Shard([x for _, x in shard], [x for x, _ in shard]).phrases(4):
                 for of, phrase, words, count in zip(*(c.to_pylist() for c in batch.columns)):
                     total[of, phrase, words] += count
         want = {(lang, " ".join(w), len(w)): k for (lang, w), k in f.items()} | {(lang, "", 0): k for lang, k in n.items() if k}
         assert {k: v for k, v in total.items() if v} == want
 
 
-def test_bitmap_holds_the_known_words(spark):
-    words = [("en", f"w{i}") for i in range(500)] + [("de", "größe")]
-    bits = np.frombuffer(collocations.bitmap_of(spark.createDataFrame(words, "lang string, phrase string")), dtype=np.uint8)
-    import pyarrow as pa
-
-    assert collocations._known("en", pa.array([w for lang, w in words if lang == "en"]), bits).all()
-    assert collocations._known("de", pa.array(["größe"]), bits).all()
-    assert not collocations._known("fr", pa.array([f"w{i}" for i in range(200)]), bits).any()
-    assert int(np.unpackbits(bits).sum()) == 501
+def test_bitmap_holds_what_is_frequent(spark):
+    rows = texts(3)
+    f, _ = plain_counts(rows, 2)
+    keys = collocations.key_counts(frame(spark, rows))
+    assert sorted(r["f"] for r in keys.collect()) == sorted(f.values())
+    bits = np.frombuffer(collocations.bitmap_of(keys.where("f >= 20")), dtype=np.uint8)
+    assert int(np.unpackbits(bits).sum()) == sum(k >= 20 for k in f.values())
+    shard = collocations.Shard([lang or "und" for _, lang in rows], [(t or "").encode() for t, _ in rows])
+    before = shard.joined.copy()
+    shard.keep(bits)
+    assert sorted(shard.counts[shard.counts > 0]) == sorted(k for (_, w), k in f.items() if len(w) == 1 and k >= 20)
+    assert before.sum() > shard.joined.sum() == sum(k for (_, w), k in f.items() if len(w) == 2 and k >= 20)
 
 
 def test_ranks_and_ties(spark):
