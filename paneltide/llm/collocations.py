@@ -4,11 +4,12 @@ Words are counted per language within pieces of text. Each shard (some texts of
 ids; prefix doubling in numpy sorts its suffixes by their first words, and the intervals of the longest common prefixes
 of neighbours in that order are its n-grams with their counts. Spark sums the counts of all shards by language and phrase.
 
-A phrase is as rare as its rarest pair of neighbours at least. A first pass counts words and pairs by their hash alone (12
-bytes a row); in the second, the words below the least count are left out, and the pairs below it end phrases as piece
-ends do, so that hardly any rare phrase is spelled out and shuffled. The first pass comes to the tasks as a bitmap of
-hashes of a fixed size (BITMAP_BITS, 16 MB): what it lets through by chance costs rows in the shuffle and changes no
-count. Once words and pairs of the least count come near BITMAP_BITS in number, it lets most through.
+A phrase is as rare as its rarest part at least. A first pass counts words, pairs and triples by their hash alone (12
+bytes a row); in the second, the words below the least count are left out, the pairs below it end phrases as piece ends
+do, and no phrase holds a triple below it, so that hardly any rare phrase is spelled out and shuffled. The first pass
+comes to the tasks as a bitmap of hashes of a fixed size (BITMAP_BITS, 16 MB): what it lets through by chance costs rows
+in the shuffle and changes no count. Once the parts of the least count come near BITMAP_BITS in number, it lets most
+through.
 
 Sums, scores and the choice of phrases are DataFrame functions. Phrases meet their parts in plain joins by language and
 phrase, of rows that each have the least count; counts and products are decimals, so no product overflows.
@@ -66,15 +67,22 @@ def word_ids(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]
     return every.dictionary, every.indices.to_numpy().astype(np.int64), starts, np.diff(piece, prepend=-1) > 0
 
 
-def intervals(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def until(stop: np.ndarray) -> np.ndarray:
+    """For each place how far the next stop is."""
+    place = np.arange(len(stop), dtype=np.int32)
+    ends = np.where(stop, place, np.int32(len(stop)))
+    return np.minimum.accumulate(ends[::-1])[::-1] - place
+
+
+def intervals(ids: np.ndarray, longest: int, triples: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each n from 2 to longest: a place of each distinct n-gram, and how often it stands in ids. Zeros end phrases.
 
-    The last longest - 1 ids only continue phrases that begin before them."""
+    The last longest - 1 ids only continue phrases that begin before them. triples: where phrases may hold three ids."""
     size = len(ids) - longest + 1
     padded = np.concatenate((ids, np.zeros(2 * longest, dtype=np.int64)))
-    place = np.arange(len(padded), dtype=np.int32)
-    ends = np.where(padded == 0, place, np.int32(len(padded)))
-    room = np.minimum(np.minimum.accumulate(ends[::-1])[::-1] - place, longest)
+    room = np.minimum(until(padded == 0), longest)
+    if triples is not None:
+        room[: len(ids)] = np.minimum(room[: len(ids)], until(~triples) + 2)
     ranks, h = {1: padded}, 1
     while h < longest:
         low = ranks[h]
@@ -120,15 +128,19 @@ class Shard:
         # Whether a word continues the piece of the one before.
         self.joined = ~self.begins
 
-    def pair_hash(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return mix64(self.hash[first] * np.uint64(0x9E3779B97F4A7C15) + self.hash[second])
+    def hashes(self, *ids: np.ndarray) -> np.ndarray:
+        """Of the phrases of the ids side by side."""
+        out = self.hash[ids[0]]
+        for x in ids[1:]:
+            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + self.hash[x])
+        return out
 
     def keep(self, bitmap: np.ndarray) -> None:
         """Leaves out rare words, and parts rare pairs."""
         good = _has(bitmap, self.hash)
         good[0] = False
         at = np.flatnonzero(self.joined)
-        self.joined[at] = _has(bitmap, self.pair_hash(self.ids[at - 1], self.ids[at])) & good[self.ids[at]] & good[self.ids[at - 1]]
+        self.joined[at] = _has(bitmap, self.hashes(self.ids[at - 1], self.ids[at])) & good[self.ids[at]] & good[self.ids[at - 1]]
         self.counts = np.where(good[1:], self.counts, 0)
 
     def blocks(self, longest: int) -> Iterator[np.ndarray]:
@@ -144,20 +156,27 @@ class Shard:
                 yield line[k : k + BLOCK + longest - 1]
 
     def keys(self) -> Iterator[pa.RecordBatch]:
-        """Counts of words and pairs by hash."""
+        """Counts of words, pairs and triples by hash."""
         yield _batch(KEYS, self.hash[1:].view(np.int64), self.counts)
-        for block in self.blocks(2):
-            for _, places, f in intervals(block, 2):
-                yield _batch(KEYS, self.pair_hash(block[places], block[places + 1]).view(np.int64), f)
-
-    def phrases(self, longest: int) -> Iterator[pa.RecordBatch]:
+        for block in self.blocks(3):
+            for n, places, f in intervals(block, 3):
+                yield _batch(KEYS, self.hashes(*(block[places + i] for i in range(n))).view(np.int64), f)
+
+    def triples(self, block: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+        """Where three ids begin that the bitmap has."""
+        out = np.zeros(len(block), dtype=bool)
+        at = np.flatnonzero(until(block == 0)[:-2] > 2)
+        out[at] = _has(bitmap, self.hashes(block[at], block[at + 1], block[at + 2]))
+        return out
+
+    def phrases(self, longest: int, bitmap: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         """Counts of words and phrases; with zero words, of all words of a language."""
         names, totals = self.totals
         yield _batch(COUNTS, names, pa.array([""] * len(names)), np.zeros(len(names), np.int32), totals)
         kept = np.flatnonzero(self.counts)
         yield _batch(COUNTS, self.lang.take(kept), self.word.take(kept), np.ones(len(kept), np.int32), self.counts[kept])
         for block in self.blocks(longest):
-            for n, places, f in intervals(block, longest):
+            for n, places, f in intervals(block, longest, None if bitmap is None else self.triples(block, bitmap)):
                 parts = [self.word.take(block[places + i] - 1) for i in range(n)]
                 phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
                 yield _batch(COUNTS, self.lang.take(block[places] - 1), phrase, np.full(len(f), n, np.int32), f)
@@ -194,7 +213,7 @@ def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def key_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, f: counts of words and pairs by hash. Two of the same hash are counted together."""
+    """key, f: counts of words, pairs and triples by hash. Two of the same hash are counted together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
@@ -205,14 +224,14 @@ def key_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
 
 def counts(docs: DataFrame, longest: int, bitmap: bytes | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, phrase, words, f of all phrases of up to longest words; with zero words each language's number of words.
-    bitmap: as bitmap_of() gives it, to pass over the words and pairs that it lacks."""
+    bitmap: as bitmap_of() gives it, to pass over the words, pairs and triples that it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bitmap is None else np.frombuffer(bitmap, dtype=np.uint8)
         for shard in _shards(batches):
             if known is not None:
                 shard.keep(known)
-            yield from shard.phrases(longest)
+            yield from shard.phrases(longest, known)
 
     return _rows(docs, text, lang).mapInArrow(run, COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 

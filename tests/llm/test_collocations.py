@@ -82,7 +82,7 @@ def test_counts_do_not_depend_on_blocks_or_shards(spark, monkeypatch):
 
 def test_bitmap_holds_what_is_frequent(spark):
     rows = texts(3)
-    f, _ = plain_counts(rows, 2)
+    f, _ = plain_counts(rows, 3)
     keys = collocations.key_counts(frame(spark, rows))
     assert sorted(r["f"] for r in keys.collect()) == sorted(f.values())
     bits = np.frombuffer(collocations.bitmap_of(keys.where("f >= 20")), dtype=np.uint8)
