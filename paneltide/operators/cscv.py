@@ -61,6 +61,12 @@ def moments(returns: DataFrame) -> DataFrame:
     return m.select("strategy", F.when(F.col("s") > 0, F.col("m") / F.col("s") * math.sqrt(252)).alias("sharpe"), "skew", "kurtosis", "n")
 
 
+def best(moments: DataFrame) -> DataFrame:
+    """The strategy of the highest Sharpe ratio (ties: the first name), and n_trials, how many there are. One row."""
+    first = F.struct(-F.col("sharpe"), "strategy")
+    return moments.where("sharpe IS NOT NULL").agg(F.min_by(F.struct("*"), first).alias("b"), F.count(F.lit(1)).alias("n_trials")).select("b.*", "n_trials")
+
+
 def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
     """All combinations of the axes' values, numbered in order, with a name `axis=value_axis=value`."""
     out = None

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import coint_pvalue
+from ..functions import normal
 from .windows import BY, ORDER, lag
 
 
@@ -127,13 +127,8 @@ def engle_granger(aligned: DataFrame, log: bool = True, by: tuple[str, ...] = BY
 
 
 def with_pvalue(rows: DataFrame, t: str = "t_stat", into: str = "pvalue") -> DataFrame:
-    """Adds MacKinnon's p-value of t, which needs the normal distribution function: Arrow batches of one column."""
-
-    @F.pandas_udf("double")
-    def p(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: coint_pvalue(x) if x == x else None)
-
-    return rows.withColumn(into, p(t))
+    """Adds MacKinnon's p-value of t."""
+    return rows.withColumn(into, normal.coint_pvalue(F.col(t)))
 
 
 def rolling_hedge_at(aligned: DataFrame, months: int, least: int = 30, log: bool = True) -> DataFrame:

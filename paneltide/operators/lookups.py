@@ -54,3 +54,17 @@ def hedge_json(hedges: Column) -> Column:
 def parse_max_pairs(value: str | int | None) -> int | None:
     """How many pairs a scan keeps; none and all mean no bound."""
     return None if value is None or str(value).strip().lower() in ("", "none", "all") else int(value)
+
+
+def nearest(asked: DataFrame, days: DataFrame, column: str = "q") -> DataFrame:
+    """Each date of asked.column once, with the nearest date of days, however far; of two as near the earlier one.
+
+    The last date before and the first after come from one window over both sets of distinct dates, which a calendar
+    bounds (some 36,500 a century)."""
+    both = asked.select(F.col(column).alias("__at"), F.lit(None).cast("date").alias("__day")).unionByName(days.select(F.col("date").alias("__at"), F.col("date").alias("__day")))
+    each = both.where("__at IS NOT NULL").groupBy("__at").agg(F.max("__day").alias("__day"))
+    w = W.orderBy("__at")
+    near = each.withColumn("__before", F.last("__day", True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("__after", F.first("__day", True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    before = F.datediff("__at", "__before") <= F.datediff("__after", "__at")
+    found = near.select(F.col("__at").alias(column), F.when(F.coalesce(before, F.col("__after").isNull()), F.col("__before")).otherwise(F.col("__after")).alias("date"))
+    return asked.select(column).distinct().join(found, column)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def enumerate_pairs(universe: DataFrame) -> DataFrame:
     """All (x, y) with x before y by pos. universe: (ticker, pos), a dimension."""
@@ -103,28 +105,37 @@ def first_group(groups: DataFrame) -> DataFrame:
 
 
 def greedy_diversified(ranked_pairs: DataFrame, key: list[str], per_sector: int, per_ticker: int, most: int) -> DataFrame:
-    """Walks each group's pairs by falling score and takes those that leave every sector and ticker within its cap.
-
-    The walk depends on what was taken before, so it runs per group of `key` (a configuration and year), whose
-    candidates are the pairs of a universe."""
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        sectors, legs, taken = {}, {}, []
-        for i, r in pdf.sort_values(["score", "leg_x", "leg_y"], ascending=[False, True, True]).iterrows():
-            if len(taken) >= most:
-                break
-            if sectors.get(r.sector, 0) >= per_sector or max(legs.get(r.leg_x, 0), legs.get(r.leg_y, 0)) >= per_ticker:
-                continue
-            taken.append(i)
-            sectors[r.sector] = sectors.get(r.sector, 0) + 1
-            for leg in (r.leg_x, r.leg_y):
-                legs[leg] = legs.get(leg, 0) + 1
-        out = pdf.loc[taken].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    return ranked_pairs.groupBy(*key).applyInPandas(walk, ranked_pairs.withColumn("rank", F.lit(0).cast("long")).schema)
+    """The pairs that a walk by falling score (ties: leg_x, leg_y) takes within each group of key, if it takes a pair only
+    while its sector and both tickers have places left, and `most` in all; with their rank. key and sector: no nulls.
+
+    Pairs compete for places: a pair needs one of its sector and one of each leg. If among the open pairs of each of these
+    it stands within the free places, no pair ahead can keep it out, and it is taken now, with all others of that kind;
+    pairs that need a place of what is full go. The best open pair is always taken, so rounds end, and as a rule few are
+    needed. The candidates and the rounds' tables are written to the checkpoint folder, once each."""
+    names = [*key, "leg_x", "leg_y"]
+    order = [F.desc("score"), "leg_x", "leg_y"]
+    seats = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name"), F.lit(cap).alias("cap")) for kind, c, cap in (("sector", "sector", per_sector), ("leg", "leg_x", per_ticker), ("leg", "leg_y", per_ticker))]))
+    seat = [*key, "kind", "name"]
+    needs = lambda rows: rows.select(*names, "score", seats.alias("seat")).select(*names, "score", "seat.*")
+    every = cut(ranked_pairs)
+    left = every.select(*names, F.col("sector").cast("string").alias("sector"), "score")
+    taken = left.where("false")
+    while not left.isEmpty():
+        used = needs(taken).groupBy(*seat).agg(F.count(F.lit(1)).alias("used"))
+        place = F.row_number().over(W.partitionBy(*seat).orderBy(*order))
+        ahead = needs(left).withColumn("place", place).where(F.col("place") <= max(per_sector, per_ticker))
+        fits = ahead.join(used, seat, "left").where(F.col("place") <= F.col("cap") - F.coalesce("used", F.lit(0)))
+        now = fits.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n = 3").select(*names)
+        taken = cut(taken.unionByName(left.join(now, names, "left_semi")))
+        full = needs(taken).groupBy(*seat, "cap").agg(F.count(F.lit(1)).alias("used")).where("used >= cap").select(*seat)
+        # Nothing behind the last of the first `most` can come in.
+        last = taken.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= most)
+        ends = last.where(F.col("rank") == most).select(*key, F.struct(-F.col("score"), "leg_x", "leg_y").alias("end"))
+        shut = needs(left).join(full, seat).select(*names).distinct()
+        rest = left.join(taken.select(*names), names, "left_anti").join(shut, names, "left_anti").join(ends, key, "left")
+        left = cut(rest.where(F.col("end").isNull() | (F.struct(-F.col("score"), "leg_x", "leg_y") < F.col("end"))).drop("end"))
+    chosen = taken.select(*names, F.row_number().over(W.partitionBy(*key).orderBy(*order)).cast("long").alias("rank")).where(F.col("rank") <= most)
+    return every.join(chosen, names)
 
 
 def best_per_sector(pairs: DataFrame, per_sector: int) -> DataFrame:

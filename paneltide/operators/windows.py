@@ -75,10 +75,29 @@ def zero_crossings(df: DataFrame, value: str = "spread", lookback: int = 252, le
     return out.withColumn("rate", rate).withColumn("holding", F.when((F.col("n") >= least) & (F.col("crossings") > 0), F.col("n") / (2.0 * F.col("crossings"))))
 
 
-def drawdown(df: DataFrame, value: str = "pnl", by: tuple[str, ...] = (), order: str = "trade_seq") -> DataFrame:
-    """Adds cum and drawdown, the fall of the running sum below its highest so far."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("cum", F.sum(value).over(w)).withColumn("drawdown", F.max("cum").over(w) - F.col("cum"))
+#: Numbers of the order column that one range of a running sum spans.
+RANGE = 65_536
+
+
+def drawdown(df: DataFrame, value: str = "pnl", by: tuple[str, ...] = (), order: str = "trade_seq", width: int = RANGE) -> DataFrame:
+    """Adds cum and drawdown, the fall of the running sum below its highest so far. order: whole numbers, each once.
+
+    The running sum is cut into ranges of the order. A range is known by its sum and its highest prefix, and those of the
+    ranges before compose to where the next one starts; so a window holds the rows of one range, or a row for each range."""
+    cut = df.withColumn("__range", F.floor(F.col(order) / width))
+    inside = W.partitionBy(*by, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    own = cut.withColumn("__cum", F.sum(value).over(inside)).withColumn("__top", F.max("__cum").over(inside))
+    ranges = own.groupBy(*by, "__range").agg(F.max_by("__cum", order).alias("__sum"), F.max("__top").alias("__peak"))
+    before = W.partitionBy(*(by or (F.lit(0),))).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0.0)))
+    starts = starts.withColumn("__high", F.max(F.col("__start") + F.col("__peak")).over(before))
+    keyed = starts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__at"), "__start", "__high")
+    same = F.col("__range") == F.col("__at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = own.join(keyed, same).withColumn("cum", F.col("__start") + F.col("__cum"))
+    out = out.withColumn("drawdown", F.greatest(F.col("__high"), F.col("__start") + F.col("__top")) - F.col("cum"))
+    return out.select(*df.columns, "cum", "drawdown")
 
 
 def percentile_below(df: DataFrame, value: str, rows: int, by: tuple[str, ...], order: str) -> DataFrame:

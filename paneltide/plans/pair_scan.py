@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import estimators, pairs, panels, windows
+from ..operators import comoments, estimators, pairs, panels, windows
 
 
 @dataclass(frozen=True)
@@ -31,9 +31,9 @@ def scan(panel: DataFrame, how: Scan, universe: str = "default", metadata: DataF
     rows = panels.last_dates(panel, how.lookback or 0)
     placed = rows.join(F.broadcast(panels.positions(rows)), "ticker")
     aligned = pairs.align(placed)
-    corr = pairs.correlation(pairs.align(pairs.listwise(panels.returns(placed, "simple")), "r")).drop("n_obs")
+    corr = comoments.correlation(pairs.listwise(panels.returns(placed, "simple")), "r").drop("n_obs")
     corr = pairs.band(corr, how.min_corr, how.max_corr)
-    some = aligned.join(F.broadcast(corr.select(*pairs.PAIR)), pairs.PAIR, "left_semi")
+    some = aligned.join(corr.select(*pairs.PAIR), pairs.PAIR, "left_semi")
     eg = estimators.engle_granger(some).where(F.col("n_obs") >= min(how.min_obs, how.lookback or how.min_obs))
     spread = estimators.spread(some, eg)
     found = (
@@ -59,8 +59,8 @@ def rolling_scan(panel: DataFrame, rows: int = 252, step: int = 21, min_corr: fl
     """For each pair correlated in price levels: windows, mean and deviation of the statistic, share at 10 percent, latest hedge."""
     placed = panel.join(F.broadcast(panels.positions(panel)), "ticker")
     aligned = pairs.align(placed)
-    near = pairs.correlation(aligned).where(F.col("corr") >= min_corr).select(*pairs.PAIR)
-    windowed = estimators.rolling_windows(aligned.join(F.broadcast(near), pairs.PAIR, "left_semi"), rows, step)
+    near = comoments.correlation(placed).where(F.col("corr") >= min_corr).select(*pairs.PAIR)
+    windowed = estimators.rolling_windows(aligned.join(near, pairs.PAIR, "left_semi"), rows, step)
     by = (*pairs.PAIR, "window")
     eg = estimators.engle_granger(windowed, by=by)
     hl = estimators.half_life(estimators.spread(windowed, eg, by=by), by=by).select(*by, "half_life")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pairs, panels, windows
+from ..operators import comoments, pairs, panels, windows
 from . import inputs as i
 from .registry import query, r6
 
@@ -114,16 +114,16 @@ CORR = RET + ", cr AS (SELECT a.ticker AS leg_x, b.ticker AS leg_y, corr(a.r, b.
 
 @query("a1_correlation_matrix", W + CORR + " SELECT leg_x, leg_y, round(corr, 6) AS corr, n_obs FROM cr")
 def corr_matrix(spark, d):
-    return pairs.correlation(pairs.align(_returns(spark, d), "r")).select("leg_x", "leg_y", r6("corr"), "n_obs")
+    return comoments.correlation(_returns(spark, d), "r").select("leg_x", "leg_y", r6("corr"), "n_obs")
 
 
 @query("a2_listwise_correlation", W + RET + ", ok AS (SELECT date FROM rt GROUP BY date HAVING count(r) = (SELECT count(*) FROM u)) SELECT a.ticker AS leg_x, b.ticker AS leg_y, round(corr(a.r, b.r), 6) AS corr, count(*) AS n_obs FROM rt a JOIN rt b ON a.date = b.date JOIN ok ON ok.date = a.date WHERE a.ticker < b.ticker GROUP BY ALL")
 def _(spark, d):
-    return pairs.correlation(pairs.align(pairs.listwise(_returns(spark, d)), "r")).select("leg_x", "leg_y", r6("corr"), "n_obs")
+    return comoments.correlation(pairs.listwise(_returns(spark, d)), "r").select("leg_x", "leg_y", r6("corr"), "n_obs")
 
 
 def _corr(spark, d):
-    return pairs.correlation(pairs.align(_returns(spark, d), "r")).select("leg_x", "leg_y", r6("corr"))
+    return comoments.correlation(_returns(spark, d), "r").select("leg_x", "leg_y", r6("corr"))
 
 
 C6 = W + CORR + ", c AS (SELECT leg_x, leg_y, round(corr, 6) AS corr FROM cr)"

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import estimators, pairs, panels, validation
+from ..operators import estimators, lookups, pairs, panels, validation
 from . import inputs as i
 from . import pair_scan
 from .q_series import EG, T
@@ -78,12 +77,9 @@ def _(spark, d):
     return i.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), validation.adaptive_max_holding(F.col("o_totalprice") % 120, (F.col("o_orderkey") % 30).cast("double")).alias("days"))
 
 
-@query("j10_nearest_date", i.TYPES + ", q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS q FROM orders), c AS (SELECT DISTINCT date FROM px) SELECT q, min_by(date, (abs(date - q), date)) AS date FROM q JOIN c ON c.date BETWEEN q - 30 AND q + 30 GROUP BY q", dates="q date")
+@query("j10_nearest_date", i.TYPES + ", q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS q FROM orders), c AS (SELECT DISTINCT date FROM px), n AS (SELECT q.q, a.date AS a, b.date AS b FROM q ASOF LEFT JOIN c a ON q.q >= a.date ASOF LEFT JOIN c b ON q.q <= b.date) SELECT q, CASE WHEN b IS NULL OR q - a <= b - q THEN a ELSE b END AS date FROM n", dates="q date")
 def _(spark, d):
-    asked = i.read(spark, d, "orders").select(F.to_date("o_orderdate").alias("q")).distinct()
-    near = asked.withColumn("date", F.explode(F.sequence(F.date_sub("q", 30), F.date_add("q", 30)))).join(panels.calendar(i.types(spark, d)), "date")
-    w = W.partitionBy("q").orderBy(F.abs(F.datediff("date", "q")), "date")
-    return near.withColumn("n", F.row_number().over(w)).where("n = 1").select("q", "date")
+    return lookups.nearest(i.read(spark, d, "orders").select(F.to_date("o_orderdate").alias("q")), panels.calendar(i.types(spark, d)))
 
 
 @query("f12_trend", i.WEEK + " SELECT ticker, date, round(px / lag(px, 60) OVER (PARTITION BY ticker ORDER BY date) - 1, 6) AS trend FROM px", dates="date")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import normal, scalars
 from ..operators import estimators as e
 from ..operators import pairs
 from ..operators import windows as w
@@ -89,16 +89,19 @@ def _(spark, d):
     return e.engle_granger(i.few(spark, d)).select(*P, (F.col("t_stat") <= scalars.coint_threshold(0.05)).alias("at5"), (F.col("t_stat") <= scalars.coint_threshold(0.01)).alias("at1"))
 
 
-@query("x1_pvalue")
+PV = f", pz AS (SELECT *, {normal.coint_z_sql('t_stat')} AS z FROM eg), pv AS (SELECT leg_x, leg_y, lag_used, t_stat, {normal.coint_pvalue_sql('t_stat', 'z')} AS pvalue FROM pz)"
+
+
+@query("x1_pvalue", T + EG + PV + " SELECT leg_x, leg_y, round(t_stat, 5) AS t_stat, round(pvalue, 7) AS pvalue FROM pv")
 def _(spark, d):
-    return e.with_pvalue(e.engle_granger(i.few(spark, d))).select(*P, "t_stat", "pvalue")
+    return e.with_pvalue(e.engle_granger(i.few(spark, d))).select(*P, F.round("t_stat", 5).alias("t_stat"), F.round("pvalue", 7).alias("pvalue"))
 
 
-@query("o1_pair_ranking", i.WEEK + i.SPREAD + EG + ", c AS (SELECT leg_x, leg_y, round(corr(x, y), 6) AS corr FROM al GROUP BY ALL) SELECT leg_x, leg_y, round(t_stat, 5) AS t_stat, corr FROM eg JOIN c USING (leg_x, leg_y) ORDER BY t_stat, corr DESC, leg_x, leg_y LIMIT 20")
+@query("o1_pair_ranking", i.WEEK + i.SPREAD + EG + PV + ", c AS (SELECT leg_x, leg_y, round(corr(x, y), 6) AS corr FROM al GROUP BY ALL) SELECT leg_x, leg_y, round(pvalue, 9) AS pvalue, round(t_stat, 5) AS t_stat, corr FROM pv JOIN c USING (leg_x, leg_y) ORDER BY round(pvalue, 9), corr DESC, leg_x, leg_y LIMIT 20")
 def _(spark, d):
     a = i.aligned(spark, d)
-    rows = e.engle_granger(a).join(pairs.correlation(a).select(*P, r6("corr")), P)
-    return pairs.ranked(rows.withColumn("pvalue", F.col("t_stat")), 20).select(*P, F.round("t_stat", 5).alias("t_stat"), "corr")
+    rows = e.with_pvalue(e.engle_granger(a)).withColumn("pvalue", F.round("pvalue", 9)).join(pairs.correlation(a).select(*P, r6("corr")), P)
+    return pairs.ranked(rows, 20).select(*P, "pvalue", F.round("t_stat", 5).alias("t_stat"), "corr")
 
 
 @query("w1_lag_and_change", L + " SELECT leg_x, leg_y, date, round(s, 6) AS s, round(lg, 6) AS lag, round(s - lg, 6) AS d FROM lg", dates="date")

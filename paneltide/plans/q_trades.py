@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions import normal
 from ..functions import scalars as s
 from ..operators import cscv, estimators, kalman, pairs, panels, signals, simulation, trades, windows
 from . import inputs as i
@@ -125,16 +126,24 @@ def cscv_pbo(spark, d):
     return a.select("n_combinations", r6("pbo"), F.round("is_mean", 9).alias("is_mean"), F.round("oos_mean", 9).alias("oos_mean"), r6("mean_logit"), r6("rank_correlation"), "n_strategies", r6("degradation"))
 
 
-@query("x20_sharpe_moments", T + CAL + GRID + " SELECT strategy, round(avg(ret) / stddev_pop(ret) * sqrt(252), 6) AS sharpe, count(*) AS n FROM rm GROUP BY strategy")
+SHARPE = """, mo AS (SELECT strategy, avg(ret) AS m, stddev_pop(ret) AS s, count(*) AS n FROM rm GROUP BY strategy),
+sk AS (SELECT strategy, any_value(m / s * sqrt(252)) AS sharpe, avg(power((ret - m) / s, 3)) AS skew, avg(power((ret - m) / s, 4)) AS kurtosis, any_value(n) AS n FROM rm JOIN mo USING (strategy) GROUP BY strategy)"""
+DEFLATED = SHARPE + f""", be AS (SELECT *, (SELECT count(*) FROM sk) AS k FROM sk ORDER BY sharpe DESC, strategy LIMIT 1),
+ps2 AS (SELECT *, 1 - 1 / k AS p1, 1 - 1 / (k * {math.e!r}) AS p2 FROM be),
+iv AS (SELECT *, {normal.inverse_sql('p1')} AS i1, {normal.inverse_sql('p2')} AS i2 FROM ps2),
+dv AS (SELECT *, sqrt(greatest((1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) / (greatest(floor(252 * (n / 252)), 2) - 1), 1e-12)) AS dev FROM iv),
+dz AS (SELECT *, (sharpe - ({1 - normal.GAMMA!r} * i1 + {normal.GAMMA!r} * i2) * dev) / dev AS z FROM dv)"""
+
+
+@query("f8_deflated_sharpe", T + CAL + GRID + DEFLATED + f" SELECT strategy, k AS n_trials, round(sharpe, 6) AS sharpe, round(z, 6) AS deflated, round(1 - ({normal.cdf_sql('z')}), 6) AS pvalue FROM dz")
 def _(spark, d):
-    return cscv.moments(_returns(spark, d)).select("strategy", r6("sharpe"), "n")
+    best = cscv.best(cscv.moments(_returns(spark, d))).withColumn("years", F.col("n") / 252)
+    return normal.with_deflated_sharpe(best).select("strategy", "n_trials", r6("sharpe"), r6("deflated"), r6("pvalue"))
 
 
-@query("f8_deflated_sharpe")
+@query("x20_sharpe_moments", T + CAL + GRID + SHARPE + " SELECT strategy, round(sharpe, 6) AS sharpe, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, n FROM sk")
 def _(spark, d):
-    best = cscv.moments(_returns(spark, d)).orderBy(F.desc("sharpe")).first()
-    z, p = s.deflated_sharpe(best["sharpe"], 6, best["skew"], best["kurtosis"], best["n"] / 252)
-    return spark.createDataFrame([(best["strategy"], best["sharpe"], z, p)], "strategy string, sharpe double, deflated double, pvalue double")
+    return cscv.moments(_returns(spark, d)).select("strategy", r6("sharpe"), r6("skew"), r6("kurtosis"), "n")
 
 
 @query("v9_purged_walk_forward", T + CAL + GRID + ", dy AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () // 6 AS sz FROM cal), da AS (SELECT date, avg(ret) AS ret FROM rm GROUP BY date), e AS (SELECT f.f AS fold, da.ret, k, sz FROM da JOIN dy USING (date), range(1, 6) f(f)) SELECT fold, round(avg(ret) FILTER (k < fold * sz - 22), 9) AS is_mean, round(avg(ret) FILTER (k >= fold * sz AND k < (fold + 1) * sz), 9) AS oos_mean FROM e GROUP BY fold")
@@ -298,6 +307,23 @@ def _(spark, d):
     return walkforward.select(walkforward.candidates(i.aligned(spark, d)), sectors, half_lives=(0.05, 100.0))
 
 
+WALK = """, sc AS (SELECT CAST(year(date) AS INT) AS trading_year, leg_x, leg_y, round(abs(corr(x, y)), 4) AS score FROM al GROUP BY ALL HAVING count(*) > 5),
+sr AS (SELECT sc.*, 'S' || (pos % 4) AS sector, row_number() OVER (PARTITION BY trading_year ORDER BY score DESC, leg_x, leg_y) AS rn FROM sc JOIN u ON ticker = leg_x WHERE score IS NOT NULL),
+wk(trading_year, rn, legs, secs, hit) AS (SELECT DISTINCT trading_year, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], false FROM sr UNION ALL
+  SELECT trading_year, rn, CASE WHEN ok THEN list_concat(legs, [leg_x, leg_y]) ELSE legs END, CASE WHEN ok THEN list_append(secs, sector) ELSE secs END, ok FROM (
+    SELECT sr.trading_year, sr.rn, legs, secs, leg_x, leg_y, sector, len(secs) < 12 AND len(list_filter(secs, lambda s: s = sector)) < 5 AND len(list_filter(legs, lambda s: s = leg_x)) < 2 AND len(list_filter(legs, lambda s: s = leg_y)) < 2 AS ok
+    FROM wk JOIN sr ON sr.trading_year = wk.trading_year AND sr.rn = wk.rn + 1))"""
+
+
+@query("w14_greedy", i.WEEK.replace("WITH", "WITH RECURSIVE", 1) + WALK + ' SELECT sr.trading_year, leg_x, leg_y, sector, score, len(secs) AS "rank" FROM wk JOIN sr ON sr.trading_year = wk.trading_year AND sr.rn = wk.rn WHERE hit')
+def _(spark, d):
+    """The twelve most correlated pairs of each year, five of a sector and two of a ticker at most."""
+    a = i.aligned(spark, d).withColumn("trading_year", F.year("date"))
+    each = a.groupBy("trading_year", *pairs.PAIR).agg(F.round(F.abs(F.corr("x", "y")), 4).alias("score"), F.count(F.lit(1)).alias("n")).where("n > 5 AND score IS NOT NULL").drop("n")
+    sectors = panels.positions(i.brand(spark, d)).select(F.col("ticker").alias("leg_x"), F.concat(F.lit("S"), F.col("pos") % 4).alias("sector"))
+    return pairs.greedy_diversified(each.join(sectors, "leg_x"), ["trading_year"], 5, 2, 12).select("trading_year", *pairs.PAIR, "sector", "score", "rank")
+
+
 @query("k9_simulation")
 def simulate(spark, d):
     a = i.few(spark, d)

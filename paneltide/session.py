@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any scale; sizes of partitions are left to AQE.
 DEFAULTS = {
@@ -24,3 +27,12 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, memory: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as written to the shared checkpoint folder, without its lineage. The folder is the one that spark.checkpoint.dir
+    names; one of this machine is set only where none is, as in tests."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "paneltide-checkpoints"))
+    return df.checkpoint(eager=True)
