@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import comoments, estimators, pairs, panels, windows
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,8 @@ def scan(panel: DataFrame, how: Scan, universe: str = "default", metadata: DataF
     placed = rows.join(F.broadcast(panels.positions(rows)), "ticker")
     aligned = pairs.align(placed)
     corr = comoments.correlation(pairs.listwise(panels.returns(placed, "simple")), "r").drop("n_obs")
-    corr = pairs.band(corr, how.min_corr, how.max_corr)
+    # The estimates below read the pairs many times over.
+    corr = cut(pairs.band(corr, how.min_corr, how.max_corr))
     some = aligned.join(corr.select(*pairs.PAIR), pairs.PAIR, "left_semi")
     eg = estimators.engle_granger(some).where(F.col("n_obs") >= min(how.min_obs, how.lookback or how.min_obs))
     spread = estimators.spread(some, eg)
@@ -59,7 +61,7 @@ def rolling_scan(panel: DataFrame, rows: int = 252, step: int = 21, min_corr: fl
     """For each pair correlated in price levels: windows, mean and deviation of the statistic, share at 10 percent, latest hedge."""
     placed = panel.join(F.broadcast(panels.positions(panel)), "ticker")
     aligned = pairs.align(placed)
-    near = comoments.correlation(placed).where(F.col("corr") >= min_corr).select(*pairs.PAIR)
+    near = cut(comoments.correlation(placed).where(F.col("corr") >= min_corr).select(*pairs.PAIR))
     windowed = estimators.rolling_windows(aligned.join(near, pairs.PAIR, "left_semi"), rows, step)
     by = (*pairs.PAIR, "window")
     eg = estimators.engle_granger(windowed, by=by)
