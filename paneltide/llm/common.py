@@ -31,6 +31,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Values that one block of a running sum holds.
+SUM_BLOCK = 128
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of an array of numbers up to each place. Blocks are summed by themselves and then shifted by the blocks
+    before, so that no list grows with the array."""
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long"))
+    within = lambda part: F.aggregate(part, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(last(a) + x)))
+    starts = lambda v: F.sequence(F.lit(1), F.size(v), F.lit(SUM_BLOCK))
+    blocks = let(values, lambda v: F.when(F.size(v) > 0, F.transform(starts(v), lambda k: within(F.slice(v, k, F.lit(SUM_BLOCK))))))
+    shifted = lambda x: F.flatten(F.transform(x["blocks"], lambda part, b: let(F.coalesce(F.get(x["ends"], b - 1), F.lit(0).cast("long")), lambda before: F.transform(part, lambda y: y + before))))
+    return let(blocks, lambda b: F.when(b.isNull(), F.array().cast("array<bigint>")).otherwise(let(F.struct(b.alias("blocks"), within(F.transform(b, last)).alias("ends")), shifted)))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS, cut, table
+from .common import WS, WS_CHARS, cut, let, table
 
 EDIT_WORDS = 5
 
@@ -66,8 +66,8 @@ def _neighbours(lines: DataFrame, docs: DataFrame, id_column: str, text: str) ->
     by_doc = candidates.groupBy("id", "text_hash").agg(F.collect_list(F.struct("line", "h", "late", "early")).alias("wanted"))
     own = docs.select(F.col(id_column).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
     found = own.join(by_doc, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("text_hash")))
-    split = found.select("id", "text_hash", "wanted", F.split("__text", "\n").alias("lines"))
-    each = split.select("id", "text_hash", F.explode(F.transform("wanted", lambda x: F.struct(x.alias("x"), F.col("lines")[x["line"]].alias("raw")))).alias("y"))
+    wanted = let(F.split("__text", "\n"), lambda lines: F.transform("wanted", lambda x: F.struct(x.alias("x"), lines[x["line"]].alias("raw"))))
+    each = found.select("id", "text_hash", F.explode(wanted).alias("y"))
     texts = cut(each.select("y.x.h", F.struct("id", "text_hash", "y.x.line").alias("at"), "y.x.late", "y.x.early", _words(F.col("y.raw")).alias("w")).dropDuplicates(["h"]))
 
     size = F.size("w")
@@ -127,10 +127,11 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     lines = F.split(F.col(text), "\n")
     numbers = F.transform(lines, lambda x, i: F.when(F.length(F.translate(x, WS_CHARS, "")) > 0, -1).otherwise(i))
     stay = F.array_sort(F.concat(F.filter(numbers, lambda i: i >= 0), F.coalesce("__kept", F.array().cast("array<int>"))))
-    staged = joined.withColumn("__lines", lines).withColumn("__stay", stay)
+    # Bound once: a lambda would split the text anew for each line.
+    parts = F.struct(lines.alias("lines"), stay.alias("stay"))
     had = F.length(F.translate(F.coalesce(F.col(text), F.lit("")), WS_CHARS, "")) > 0
-    some = staged.where(~had | F.col("__kept").isNotNull())
-    new = F.when(F.col(text).isNull(), F.col(text)).otherwise(F.concat_ws("\n", F.transform("__stay", lambda i: F.col("__lines")[i])))
+    some = joined.where(~had | F.col("__kept").isNotNull())
+    new = F.when(F.col(text).isNull(), F.col(text)).otherwise(F.concat_ws("\n", let(parts, lambda x: F.transform(x["stay"], lambda i: x["lines"][i]))))
     return some.withColumn(text, new).select(*docs.columns)
 
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, let, running_sums, table
 
 _KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 
@@ -57,20 +57,18 @@ LIVE_CHARACTERS = 8
 def _spans(text: Column, kind: Kind, order: int) -> Column:
     """Structs of start, kind's order, end and value, leftmost and non-overlapping; places in code points, end exclusive."""
     whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
-    gaps = F.split(text, kind.pattern, -1)
-    parts = F.transform(whole, lambda m, i: F.struct(F.length(gaps[i]).alias("gap"), F.length(m).alias("size")))
-    kind_of = "array<struct<start:int,end:int>>"
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["size"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["size"]).alias("end")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    full = F.zip_with(placed, value, lambda s, v: F.struct(s["start"].alias("start"), F.lit(order).alias("kind"), s["end"].alias("end"), v.alias("value")))
+    value = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)) if kind.group else F.lit(None).cast("array<string>")
+    lengths = lambda a: F.transform(a, lambda x: F.length(x).cast("long"))
+    # A gap before each match, and one after the last.
+    found = F.struct(whole.alias("whole"), value.alias("value"), lengths(F.split(text, kind.pattern, -1)).alias("gaps"))
+
+    def spans(x: Column) -> Column:
+        sizes = lengths(x["whole"])
+        ends = running_sums(F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["whole"])), sizes, lambda g, n: g + n))
+        placed = F.zip_with(ends, x["whole"], lambda end, m: F.struct((end - F.length(m)).cast("int").alias("start"), F.lit(order).alias("kind"), end.cast("int").alias("end")))
+        return F.zip_with(placed, F.coalesce(x["value"], x["whole"]), lambda s, v: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), v.alias("value")))
+
+    full = let(found, spans)
     return F.filter(full, lambda s: F.length(s["value"]) >= kind.at_least)
 
 
