@@ -131,18 +131,12 @@ def with_pvalue(rows: DataFrame, t: str = "t_stat", into: str = "pvalue") -> Dat
     return rows.withColumn(into, normal.coint_pvalue(F.col(t)))
 
 
-def rolling_hedge_at(aligned: DataFrame, months: int, least: int = 30, log: bool = True) -> DataFrame:
-    """OLS of x on y over (month end - months, month end], for each month end of the pair: date, hedge, intercept, r2, n_obs.
-
-    A row belongs to `months` month ends at most, so it is dealt to these and no range is joined."""
+def trailing_hedge(aligned: DataFrame, lookback: int = 63, log: bool = True, by: tuple[str, ...] = BY) -> DataFrame:
+    """OLS of x on y over each series' last `lookback` rows: date (its last), hedge, intercept, n_obs."""
+    tail = aligned.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(ORDER)))).where(F.col("__n") <= lookback)
     v = (lambda c: F.when(F.col(c) > 0, F.log(c))) if log else F.col
-    # A row after (month end - months) belongs to that month end; add_months clips to the end of shorter months.
-    ends = F.transform(F.sequence(F.lit(0), F.lit(months)), lambda k: F.last_day(F.add_months(F.trunc("date", "month"), k)))
-    rows = aligned.select(*BY, "date", v("x").alias("x"), v("y").alias("y")).withColumn("at", F.explode(ends)).where((F.col("date") <= F.col("at")) & (F.col("date") > F.add_months("at", -months)))
-    last = aligned.groupBy(*BY).agg(F.last_day(F.max("date")).alias("__last"))
-    rows = rows.join(last, list(BY)).where("at <= __last")
-    out = rows.groupBy(*BY, "at").agg(F.regr_slope("x", "y").alias("hedge"), F.regr_intercept("x", "y").alias("intercept"), F.regr_r2("x", "y").alias("r2"), F.regr_count("x", "y").alias("n_obs"))
-    return out.where(F.col("n_obs") >= least).withColumnRenamed("at", "date")
+    rows = tail.select(*by, ORDER, v("x").alias("x"), v("y").alias("y"))
+    return rows.groupBy(*by).agg(F.max(ORDER).alias(ORDER), F.regr_slope("x", "y").alias("hedge"), F.regr_intercept("x", "y").alias("intercept"), F.regr_count("x", "y").alias("n_obs"))
 
 
 def asof(left: DataFrame, right: DataFrame, value: str, by: tuple[str, ...] = BY) -> DataFrame:
@@ -153,14 +147,6 @@ def asof(left: DataFrame, right: DataFrame, value: str, by: tuple[str, ...] = BY
     return a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("__v", True).over(w)).where("__own = 1").drop("__v", "__own")
 
 
-def rolling_windows(aligned: DataFrame, rows: int, step: int, by: tuple[str, ...] = BY) -> DataFrame:
-    """Each row once for every window of `rows` rows that ends at rows, rows + step, ... of its pair: adds window."""
-    numbered = aligned.withColumn("__rn", F.row_number().over(W.partitionBy(*by).orderBy(ORDER))).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*by)))
-    low = F.greatest(F.ceil((F.col("__rn") - rows) / step), F.lit(0))
-    high = F.least(F.floor((F.col("__rn") - 1) / step), F.floor((F.col("__n") - rows) / step))
-    return numbered.where((F.col("__n") >= rows) & (low <= high)).withColumn("window", F.explode(F.sequence(low, high))).drop("__rn", "__n")
-
-
 JOHANSEN_95 = (3.8415, 15.4943, 29.7961, 47.8545, 69.8189)
 JOHANSEN_90 = (2.7055, 13.4294, 27.0669, 44.4929, 65.8202)
 JOHANSEN_99 = (6.6349, 19.9349, 35.4628, 54.6815, 77.8202)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import estimators
+from . import estimators, panes
 from .windows import BY, lag
 
 
@@ -47,12 +47,7 @@ def stability(aligned: DataFrame, t_train: float, t_val: float, low: float = 5.0
 
 def consistency(aligned: DataFrame, t_max: float, low: float, high: float, windows: int = 4, share: float = 0.6, least: int = 2, by: tuple[str, ...] = BY) -> DataFrame:
     """How many of a pair's overlapping windows pass, and 1 less the mean variation (population) of half-life and hedge among these."""
-    k = F.row_number().over(W.partitionBy(*by).orderBy("date")) - 1
-    n = F.count(F.lit(1)).over(W.partitionBy(*by))
-    rows = aligned.withColumn("__k", k).withColumn("__n", n).withColumn("__size", F.floor(F.col("__n") * share))
-    rows = rows.withColumn("__step", F.floor((F.col("__n") - F.col("__size")) / (windows - 1))).withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
-    rows = rows.where((F.col("__k") >= F.col("window") * F.col("__step")) & (F.col("__k") < F.col("window") * F.col("__step") + F.col("__size")))
-    e = estimates(rows.select(*by, "window", "date", "x", "y"), (*by, "window"))
+    e = panes.shares(aligned, windows, share, by=by)
     passed = F.coalesce((F.col("t_stat") <= t_max) & F.col("half_life").between(low, high), F.lit(False))
     own = lambda c: F.when(passed, F.col(c))
     cv = lambda c: F.stddev_pop(own(c)) / F.abs(F.avg(own(c)))

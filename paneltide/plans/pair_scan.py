@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import comoments, estimators, pairs, panels, windows
+from ..operators import comoments, estimators, pairs, panels, panes, windows
 from ..session import cut
 
 
@@ -62,11 +62,7 @@ def rolling_scan(panel: DataFrame, rows: int = 252, step: int = 21, min_corr: fl
     placed = panel.join(F.broadcast(panels.positions(panel)), "ticker")
     aligned = pairs.align(placed)
     near = cut(comoments.correlation(placed).where(F.col("corr") >= min_corr).select(*pairs.PAIR))
-    windowed = estimators.rolling_windows(aligned.join(near, pairs.PAIR, "left_semi"), rows, step)
-    by = (*pairs.PAIR, "window")
-    eg = estimators.engle_granger(windowed, by=by)
-    hl = estimators.half_life(estimators.spread(windowed, eg, by=by), by=by).select(*by, "half_life")
-    each = eg.join(hl, list(by), "left")
+    each = panes.rolling(aligned.join(near, pairs.PAIR, "left_semi"), rows, step)
     t10 = scalars.coint_threshold(0.10)
     return each.groupBy(*pairs.PAIR).agg(
         F.count(F.lit(1)).alias("n_windows"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal, scalars
 from ..operators import estimators as e
-from ..operators import pairs
+from ..operators import pairs, panes
 from ..operators import windows as w
 from . import inputs as i
 from .registry import query, r6
@@ -149,6 +149,11 @@ def _(spark, d):
     return w.rolling_ols(i.few(spark, d), 60).select(*P, "date", r6("hedge"))
 
 
+@query("x9_trailing_hedge", i.TYPES + ", tl AS (SELECT *, row_number() OVER (PARTITION BY leg_x, leg_y ORDER BY date DESC) AS k FROM al) SELECT leg_x, leg_y, max(date) AS date, round(regr_slope(ln(x), ln(y)), 6) AS hedge, round(regr_intercept(ln(x), ln(y)), 6) AS intercept, count(*) AS n_obs FROM tl WHERE k <= 63 GROUP BY ALL", dates="date")
+def _(spark, d):
+    return e.trailing_hedge(i.few(spark, d)).select(*P, "date", r6("hedge"), r6("intercept"), "n_obs")
+
+
 @query("w13_rolling_ou", L + f" SELECT leg_x, leg_y, date, round(CASE WHEN count(lg) {_rows(251)} >= 251 THEN regr_slope(s, lg) {_rows(251)} END, 6) AS beta FROM lg", dates="date")
 def _(spark, d):
     return w.rolling_ols(e.lagged(_spread(spark, d)).where("lag IS NOT NULL").withColumnRenamed("s", "x").withColumnRenamed("lag", "y"), 251).select(*P, "date", r6("hedge", "beta")).unionByName(e.lagged(_spread(spark, d)).where("lag IS NULL").select(*P, "date", F.lit(None).cast("double").alias("beta")))
@@ -164,18 +169,18 @@ MONTHLY = ", rb AS (SELECT leg_x, leg_y, last_day(m) AS d FROM (SELECT leg_x, le
 
 @query("w12_monthly_ols", i.TYPES + MONTHLY + " SELECT leg_x, leg_y, date, round(hedge, 6) AS hedge, round(intercept, 6) AS intercept, round(r2, 6) AS r2, n_obs FROM mo", dates="date")
 def _(spark, d):
-    return e.rolling_hedge_at(i.few(spark, d), 6, 60).select(*P, "date", r6("hedge"), r6("intercept"), r6("r2"), "n_obs")
+    return panes.month_ends(i.few(spark, d), 6, 60).select(*P, "date", r6("hedge"), r6("intercept"), r6("r2"), "n_obs")
 
 
 @query("j4_asof_hedge", i.TYPES + MONTHLY + " SELECT al.leg_x, al.leg_y, al.date, round(mo.hedge, 6) AS hedge FROM al ASOF LEFT JOIN mo ON al.leg_x = mo.leg_x AND al.leg_y = mo.leg_y AND al.date >= mo.date", dates="date")
 def _(spark, d):
     a = i.few(spark, d)
-    return e.asof(a, e.rolling_hedge_at(a, 6, 60), "hedge").select(*P, "date", r6("hedge"))
+    return e.asof(a, panes.month_ends(a, 6, 60), "hedge").select(*P, "date", r6("hedge"))
 
 
 @query("a13_hedge_stability", i.TYPES + MONTHLY + ", nm AS (SELECT *, row_number() OVER (PARTITION BY leg_x, leg_y ORDER BY date) AS k, count(*) OVER (PARTITION BY leg_x, leg_y) AS n FROM mo), q AS (SELECT leg_x, leg_y, count(*) AS n, avg(hedge) AS mean, stddev_samp(hedge) AS sd, avg(hedge) FILTER (k <= n // 2) AS a, avg(hedge) FILTER (k > n // 2) AS b FROM nm GROUP BY ALL) SELECT leg_x, leg_y, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / abs(mean), 4) AS cv, round(abs(b - a) / abs(a), 4) AS drift FROM q")
 def _(spark, d):
-    m = e.rolling_hedge_at(i.few(spark, d), 6, 60)
+    m = panes.month_ends(i.few(spark, d), 6, 60)
     x = w.W.partitionBy(*P)
     k = m.withColumn("k", F.row_number().over(x.orderBy("date"))).withColumn("n", F.count(F.lit(1)).over(x))
     first = F.col("k") <= F.floor(F.col("n") / 2)
@@ -188,14 +193,12 @@ ROLL = ", nb AS (SELECT *, row_number() OVER (PARTITION BY leg_x, leg_y ORDER BY
 
 @query("w10_rolling_windows", i.TYPES + ROLL + " SELECT leg_x, leg_y, win AS \"window\", count(*) AS n, max(date) AS date, round(regr_slope(ln(x), ln(y)), 6) AS hedge FROM wn GROUP BY ALL", dates="date")
 def _(spark, d):
-    rows = e.rolling_windows(i.few(spark, d), 252, 21)
-    return rows.groupBy(*P, "window").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("date"), r6(F.regr_slope(F.log("x"), F.log("y")), "hedge"))
+    return panes.rolling(i.few(spark, d), 252, 21).select(*P, "window", F.col("n_obs").alias("n"), "date", r6("hedge"))
 
 
 @query("w10_rolling_cointegration", i.TYPES + ROLL.replace("FROM al)", "FROM al)").replace("wn AS", "w0 AS") + ", wn AS (SELECT leg_x || '_' || leg_y || '_' || win AS leg_x, '' AS leg_y, date, x, y FROM w0), hg AS (SELECT leg_x, leg_y, regr_slope(ln(x), ln(y)) AS hedge, regr_intercept(ln(x), ln(y)) AS intercept FROM wn GROUP BY ALL)" + EG.replace("FROM al JOIN hg", "FROM wn JOIN hg").replace("al.leg_x, al.leg_y", "wn.leg_x, wn.leg_y") + " SELECT leg_x AS name, lag_used, round(t_stat, 5) AS t_stat FROM eg")
 def _(spark, d):
-    rows = e.rolling_windows(i.few(spark, d), 252, 21)
-    return e.engle_granger(rows, by=(*P, "window")).select(F.concat_ws("_", *P, "window").alias("name"), "lag_used", F.round("t_stat", 5).alias("t_stat"))
+    return panes.rolling(i.few(spark, d), 252, 21).select(F.concat_ws("_", *P, "window").alias("name"), "lag_used", F.round("t_stat", 5).alias("t_stat"))
 
 
 @query("w15_walk_forward", i.TYPES + ", wd AS (SELECT CAST(k AS INT) AS window_id, DATE '1995-01-02' + to_months(CAST(k * 6 AS INT)) AS t0, DATE '1995-01-02' + to_months(CAST(k * 6 + 12 AS INT)) AS t1, DATE '1995-01-02' + to_months(CAST(k * 6 + 18 AS INT)) AS t2 FROM range(100) g(k)) SELECT window_id, CASE WHEN date < t1 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM px JOIN wd ON date >= t0 AND date < t2 WHERE t2 <= DATE '2001-11-04' GROUP BY ALL")
