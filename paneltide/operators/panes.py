@@ -24,6 +24,7 @@ from .windows import BY, ORDER
 #: What the sums are taken of: all rows, rows with a lag, rows with two. o is the constant, u and v are the legs, 1 marks
 #: the row before, d a change.
 SETS = {"l": ("o", "u", "v"), "a": ("o", "u1", "v1", "du", "dv"), "b": ("o", "u1", "v1", "du", "dv", "du1", "dv1")}
+HAS = {"l": "true", "a": "u1 IS NOT NULL", "b": "du1 IS NOT NULL"}
 #: Of a pane's first row; n: the row after it.
 EDGE = ("u", "v", "u1", "v1", "du", "dv", "du1", "dv1", "ndu", "ndv")
 #: A residual sum below this share of the leg's own is rounding: the legs are collinear.
@@ -51,7 +52,6 @@ def panes(aligned: DataFrame, pane: Callable[[Column, Column], Column], log: boo
     rows = rows.withColumns({"u": from_first("x"), "v": from_first("y")})
     rows = rows.withColumns({"u1": F.lag("u").over(ordered), "v1": F.lag("v").over(ordered), "u2": F.lag("u", 2).over(ordered), "v2": F.lag("v", 2).over(ordered), "nu": F.lead("u").over(ordered), "nv": F.lead("v").over(ordered), "__last": F.lag("__pane").over(ordered)})
     rows = rows.withColumns({"o": F.lit(1.0), "du": F.expr("u - u1"), "dv": F.expr("v - v1"), "du1": F.expr("u1 - u2"), "dv1": F.expr("v1 - v2"), "ndu": F.expr("nu - u"), "ndv": F.expr("nv - v")})
-    has = {"l": F.lit(True), "a": F.col("u1").isNotNull(), "b": F.col("du1").isNotNull()}
     opens = F.col("__last").isNull() | (F.col("__last") != F.col("__pane"))
     out = rows.groupBy(*by, F.col("__pane")).agg(
         F.min("__k").alias("__k"),
@@ -59,7 +59,7 @@ def panes(aligned: DataFrame, pane: Callable[[Column, Column], Column], log: boo
         F.max(ORDER).alias(ORDER),
         F.max(F.when(opens, F.col("x") - F.col("u"))).alias("__x0"),
         F.max(F.when(opens, F.col("y") - F.col("v"))).alias("__y0"),
-        *[F.coalesce(F.sum(F.when(has[s], F.col(p) * F.col(q))), F.lit(0.0)).alias(f"{s}_{p}_{q}") for s, p, q in _sums()],
+        *[F.expr(f"coalesce(sum({p} * {q}) FILTER (WHERE {HAS[s]}), 0D) AS {s}_{p}_{q}") for s, p, q in _sums()],
         *[F.max(F.when(opens, F.col(c))).alias(f"e_{c}") for c in EDGE],
     )
     return out.withColumn("__before", F.lag("__k").over(W.partitionBy(*by).orderBy("__k")))
@@ -78,15 +78,14 @@ def merged(parts: DataFrame, windows: Callable[[Column, Column], Column], start:
     )
 
 
-def _form(s: str, left: dict[str, Column], right: dict[str, Column]) -> Column:
-    """The sum over a set of the product of two linear forms."""
-    order, total = SETS[s], None
+def _form(s: str, left: dict[str, str], right: dict[str, str]) -> str:
+    """The sum over a set of the product of two linear forms, as SQL text (a Column for each term takes the driver seconds)."""
+    order, terms = SETS[s], []
     for p, cp in left.items():
         for q, cq in right.items():
             a, b = sorted((p, q), key=order.index)
-            term = cp * cq * F.col(f"{s}_{a}_{b}")
-            total = term if total is None else total + term
-    return total
+            terms.append(" * ".join([x for x in (cp, cq) if x != "1"] + [f"{s}_{a}_{b}"]))
+    return "(" + " + ".join(terms) + ")"
 
 
 def tested(moments: DataFrame, least: int = 30, by: tuple[str, ...] = BY) -> DataFrame:
@@ -97,28 +96,18 @@ def tested(moments: DataFrame, least: int = 30, by: tuple[str, ...] = BY) -> Dat
     m = m.withColumns({"svv": c("l_v_v") - c("l_o_v") * c("l_o_v") / c("n_obs"), "suv": c("l_u_v") - c("l_o_u") * c("l_o_v") / c("n_obs"), "suu": c("l_u_u") - c("l_o_u") * c("l_o_u") / c("n_obs")})
     m = m.withColumn("hedge", F.when(c("svv") > 0, c("suv") / c("svv"))).where("hedge IS NOT NULL")
     m = m.withColumn("alpha", (c("l_o_u") - c("hedge") * c("l_o_v")) / c("n_obs"))
-    one, a, b = F.lit(1.0), -c("alpha"), -c("hedge")
-    e1, d, d1 = {"o": a, "u1": one, "v1": b}, {"du": one, "dv": b}, {"du1": one, "dv1": b}
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    e1, d, d1 = {"o": "-alpha", "u1": "1", "v1": "-hedge"}, {"du": "1", "dv": "-hedge"}, {"du1": "1", "dv1": "-hedge"}
     # The window's first row (0) and its second (1); null where the row has no such value in the series.
-    m = m.withColumns(
-        {
-            "e1_0": c("e_u1") + a + b * c("e_v1"), "d_0": c("e_du") + b * c("e_dv"), "d1_0": c("e_du1") + b * c("e_dv1"),
-            "e1_1": c("e_u") + a + b * c("e_v"), "d_1": c("e_ndu") + b * c("e_ndv"),
-        }
-    )
-    in_a = lambda p, q, x, y: _form("a", p, q) - zero(x * y)
-    of_b = lambda x: F.when(c("d1_0").isNotNull(), x).otherwise(0.0)
-    of_b1 = lambda x: F.when(c("d_0").isNotNull(), x).otherwise(0.0)
-    in_b = lambda p, q, x0, y0, x1, y1: _form("b", p, q) - of_b(x0 * y0) - of_b1(x1 * y1)
-    e10, d0, d10, e11, d_1 = c("e1_0"), c("d_0"), c("d1_0"), c("e1_1"), c("d_1")
-    m = m.withColumns(
-        {
-            "a0": in_a(e1, e1, e10, e10), "b0": in_a(e1, d, e10, d0), "c0": in_a(d, d, d0, d0), "s_e": in_a({"o": one}, e1, one, e10), "s_d": in_a({"o": one}, d, one, d0),
-            "a": in_b(e1, e1, e10, e10, e11, e11), "b": in_b(e1, d, e10, d0, e11, d_1), "c": in_b(d, d, d0, d0, d_1, d_1),
-            "f": in_b(e1, d1, e10, d10, e11, d0), "g": in_b(d1, d1, d10, d10, d0, d0), "h": in_b(d, d1, d0, d10, d_1, d0),
-        }
-    )
+    edge = {"e1_0": "e_u1 - alpha - hedge * e_v1", "d_0": "e_du - hedge * e_dv", "d1_0": "e_du1 - hedge * e_dv1", "e1_1": "e_u - alpha - hedge * e_v", "d_1": "e_ndu - hedge * e_ndv"}
+    m = m.withColumns({name: F.expr(text) for name, text in edge.items()})
+    in_a = lambda p, q, first: f"{_form('a', p, q)} - coalesce({first}, 0D)"
+    in_b = lambda p, q, first, second: f"{_form('b', p, q)} - if(d1_0 IS NULL, 0D, {first}) - if(d_0 IS NULL, 0D, {second})"
+    sums = {
+        "a0": in_a(e1, e1, "e1_0 * e1_0"), "b0": in_a(e1, d, "e1_0 * d_0"), "c0": in_a(d, d, "d_0 * d_0"), "s_e": in_a({"o": "1"}, e1, "e1_0"), "s_d": in_a({"o": "1"}, d, "d_0"),
+        "a": in_b(e1, e1, "e1_0 * e1_0", "e1_1 * e1_1"), "b": in_b(e1, d, "e1_0 * d_0", "e1_1 * d_1"), "c": in_b(d, d, "d_0 * d_0", "d_1 * d_1"),
+        "f": in_b(e1, d1, "e1_0 * d1_0", "e1_1 * d_0"), "g": in_b(d1, d1, "d1_0 * d1_0", "d_0 * d_0"), "h": in_b(d, d1, "d_0 * d1_0", "d_1 * d_0"),
+    }
+    m = m.withColumns({name: F.expr(text) for name, text in sums.items()})
     m = m.withColumns({"n0": c("n_obs") - 1, "n1": c("n_obs") - 2, "det": c("a") * c("g") - c("f") * c("f")})
     m = m.withColumns({"rho1": F.try_divide(c("b") * c("g") - c("h") * c("f"), c("det")), "gam1": F.try_divide(c("a") * c("h") - c("f") * c("b"), c("det"))})
     m = m.withColumns({"ssr1": c("c") - c("rho1") * c("b") - c("gam1") * c("h"), "ssr0": c("c") - F.try_divide(c("b") * c("b"), c("a")), "ssr": c("c0") - F.try_divide(c("b0") * c("b0"), c("a0"))})
