@@ -118,14 +118,25 @@ def blacklist(trades: DataFrame, least: int = 3, rate: float = 0.5) -> DataFrame
     return run.withColumn("over", over).withColumn("barred", F.max("over").over(w)).select("leg_x", "leg_y", "trading_year", "trades", "stops", "barred")
 
 
+#: Shares of a trade's profit as exact numbers, so that what comes in at entry goes out whole after exit.
+EXACT = "decimal(38,18)"
+
+
 def daily_pnl(trades: DataFrame, calendar: DataFrame, by: tuple[str, ...] = (), capital: float = 1.0) -> DataFrame:
-    """Each trade's pnl / holding_days on every calendar date of [entry, exit], both ends included, and 0 on other dates."""
-    share = trades.where(F.col("holding_days") > 0).select(*by, (F.col("pnl") / F.col("holding_days") / capital).alias("v"), F.explode(F.sequence("entry_date", "exit_date")).alias("date"))
-    sums = share.groupBy(*by, "date").agg(F.sum("v").alias("v"))
+    """Each trade's pnl / holding_days on every calendar date of [entry, exit], both ends included, and 0 on other dates.
+
+    A trade is two events, its share at entry and less its share on the day after exit; they are added up by day, and one
+    running sum over a strategy's days and the calendar's gives each date. A window holds days, never trades."""
+    v = (F.col("pnl") / F.col("holding_days") / capital).cast(EXACT)
+    held = trades.where((F.col("holding_days") > 0) & (F.col("entry_date") <= F.col("exit_date"))).select(*by, v.alias("v"), "entry_date", "exit_date")
+    ends = F.array(F.struct(F.col("entry_date").alias("date"), F.col("v").alias("v")), F.struct(F.date_add("exit_date", 1).alias("date"), (-F.col("v")).alias("v")))
+    events = held.select(*by, F.explode(ends).alias("e")).groupBy(*by, "e.date").agg(F.sum("e.v").alias("v"))
     days = calendar.select("date")
     if by:
         days = trades.select(*by).distinct().join(F.broadcast(days.agg(F.collect_list("date").alias("d")))).select(*by, F.explode("d").alias("date"))
-    return days.join(sums, [*by, "date"], "left").select(*by, "date", F.coalesce("v", F.lit(0.0)).alias("ret"))
+    both = days.withColumns({"v": F.lit(None).cast(EXACT), "asked": F.lit(True)}).unionByName(events.select(*by, "date", F.col("v").cast(EXACT).alias("v"), F.lit(False).alias("asked")))
+    w = W.partitionBy(*(by or (F.lit(0),))).orderBy("date").rangeBetween(W.unboundedPreceding, 0)
+    return both.withColumn("ret", F.coalesce(F.sum("v").over(w), F.lit(0)).cast("double")).where("asked").select(*by, "date", "ret")
 
 
 def extreme(trades: DataFrame, n: int, best: bool = True) -> DataFrame:

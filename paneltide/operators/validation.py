@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import estimators, panes
-from .windows import BY, lag
+from .windows import BY, lag, zero_crossings
 
 
 def parts(aligned: DataFrame, share: float = 0.75, by: tuple[str, ...] = BY) -> DataFrame:
@@ -26,6 +26,27 @@ def estimates(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return eg.join(hl, list(by), "left")
 
 
+def cointegrated(aligned: DataFrame, pvalue: float = 0.05, low: float = 5.0, high: float = 30.0, least: int = 60, by: tuple[str, ...] = BY) -> DataFrame:
+    """The test that a pair must pass to be traded, with all that is known of its spread (less the intercept): hedge,
+    intercept, r2, t_stat, pvalue, half_life, spread_mean, spread_std, spread_range, snr, crossing_rate, expected_holding,
+    n_obs, and reason, the first gate that fails (null: none): rows, pvalue or half_life.
+
+    Rows without both logarithms are none; a pair without `least` rows keeps its row, with its estimates null."""
+    counted = aligned.groupBy(*by).agg(F.count(F.when((F.col("x") > 0) & (F.col("y") > 0), 1)).alias("n_rows"))
+    eg = estimators.with_pvalue(estimators.engle_granger(aligned, by=by, least=least))
+    rows = estimators.spread(aligned, eg, intercept=True, by=by).where("spread IS NOT NULL").select(*by, "date", "spread")
+    out = counted.join(eg, list(by), "left").join(estimators.half_life(rows, by=by).select(*by, "half_life"), list(by), "left")
+    out = out.join(estimators.spread_summary(rows, by=by), list(by), "left").join(estimators.snr(rows, by=by), list(by), "left")
+    zero = zero_crossings(rows, by=by).select(*by, F.col("rate").alias("crossing_rate"), F.col("holding").alias("expected_holding"))
+    reason = (
+        F.when(F.col("n_rows") < least, "rows")
+        .when(~F.coalesce(F.col("pvalue") <= pvalue, F.lit(False)), "pvalue")
+        .when(~F.coalesce(F.col("half_life").between(low, high), F.lit(False)), "half_life")
+    )
+    names = ["hedge", "intercept", "r2", "t_stat", "pvalue", "half_life", "spread_mean", "spread_std", "spread_range", "snr", "crossing_rate", "expected_holding"]
+    return out.join(zero, list(by), "left").select(*by, *names, F.col("n_rows").alias("n_obs"), reason.alias("reason"))
+
+
 def stability(aligned: DataFrame, t_train: float, t_val: float, low: float = 5.0, high: float = 30.0, by: tuple[str, ...] = BY) -> DataFrame:
     """Both parts' estimates against each other: the ratios of half-lives and hedges, a score, and the first failed rule.
 
@@ -62,6 +83,17 @@ def rolling_share(windows: DataFrame, t_max: float, max_half_life: float, by: tu
     return windows.groupBy(*by).agg(F.count("t_stat").alias("n"), F.sum((good & F.col("t_stat").isNotNull()).cast("long")).alias("n_good")).withColumn("share", F.try_divide("n_good", "n"))
 
 
+def rolling_reason(found: DataFrame, aligned: DataFrame, t_max: float, max_half_life: float, share: float, rows: int = 252, step: int = 63, by: tuple[str, ...] = BY) -> DataFrame:
+    """found with rolling_reason: rolling_no_windows, rolling_consistency:<share>%<<asked>%, or null where enough windows
+    of the pair pass. Only the pairs of found are tested."""
+    some = aligned.join(found.select(*by), list(by), "left_semi")
+    each = rolling_share(panes.rolling(some, rows, step, by=by), t_max, max_half_life, by).select(*by, F.col("n").alias("__n"), F.col("share").alias("__share"))
+    percent = lambda x: F.concat(F.bround(x * 100, 0).cast("long").cast("string"), F.lit("%"))
+    low = F.concat(F.lit("rolling_consistency:"), percent(F.col("__share")), F.lit("<"), percent(F.lit(share)))
+    reason = F.when(F.coalesce(F.col("__n"), F.lit(0)) == 0, "rolling_no_windows").when(F.col("__share") < share, low)
+    return found.join(each, list(by), "left").withColumn("rolling_reason", reason).drop("__n", "__share")
+
+
 def adaptive_max_holding(recent: Column, formation: Column, multiple: float = 2.5, most: int = 45, weight: float = 0.5) -> Column:
     """Days to hold from a blend of recent and formation half-life; the recent one counts within 3..100."""
     blend = F.when(recent.between(3, 100), weight * recent + (1 - weight) * formation).otherwise(formation)

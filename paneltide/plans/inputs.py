@@ -71,16 +71,16 @@ _TRADES = """SELECT o_orderkey AS trade_seq, 'X' || (o_custkey % 7) AS leg_x, 'Y
   round(o_totalprice % 1000 - 480, 2) AS pnl, ['convergence', 'max_holding', 'stop_loss', 'stop_loss_time', 'regime_break'][CAST(o_orderkey % 5 AS INT) + 1] AS exit_reason FROM orders"""
 
 
-def _brand(unit: str) -> str:
+def panel_sql(unit: str) -> str:
     value = "l_extendedprice" if unit == "day" else "l_extendedprice / l_quantity"
     return f"SELECT CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS date, p_brand AS ticker, avg({value}) AS px FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"
 
 
 _U = "u AS (SELECT ticker, CAST(row_number() OVER (ORDER BY ticker) - 1 AS INT) AS pos FROM (SELECT DISTINCT ticker FROM px))"
 _AL = "al AS (SELECT a.ticker AS leg_x, b.ticker AS leg_y, a.date, a.px AS x, b.px AS y FROM px a JOIN px b ON a.date = b.date JOIN u ua ON a.ticker = ua.ticker JOIN u ub ON b.ticker = ub.ticker WHERE ua.pos < ub.pos)"
-WEEK = f"WITH px AS ({_brand('week')}), {_U}, {_AL}"
-MONTH = f"WITH px AS ({_brand('month')}), {_U}, {_AL}"
-DAY = f"WITH px AS ({_brand('day')})"
+WEEK = f"WITH px AS ({panel_sql('week')}), {_U}, {_AL}"
+MONTH = f"WITH px AS ({panel_sql('month')}), {_U}, {_AL}"
+DAY = f"WITH px AS ({panel_sql('day')})"
 TYPES = f"WITH px AS (SELECT CAST(l_shipdate AS DATE) AS date, p_type AS ticker, avg(l_extendedprice) AS px FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), {_U}, {_AL}"
 #: hg: hedge of log prices; sp: the spread without the intercept.
 SPREAD = """, hg AS (SELECT leg_x, leg_y, regr_slope(ln(x), ln(y)) AS hedge, regr_intercept(ln(x), ln(y)) AS intercept, regr_r2(ln(x), ln(y)) AS r2, count(*) AS n_obs FROM al GROUP BY ALL),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import comoments, estimators, pairs, panels, panes, windows
+from ..operators import comoments, estimators, lookups, pairs, panels, panes, validation, windows
 from ..session import cut
 
 
@@ -18,17 +18,22 @@ class Scan:
     min_corr: float = 0.6
     max_corr: float = 0.99
     lookback: int | None = 252
-    max_pairs: int | None = None
+    max_pairs: int | str | None = None
     pvalue: float = 0.10
     min_half_life: float = 5.0
     max_half_life: float = 120.0
     min_range_pct: float = 0.0
+    #: The share of rolling windows that must pass; None: they are not looked at.
+    rolling_share: float | None = None
+    rolling_rows: int = 252
+    rolling_step: int = 63
 
 
 def scan(panel: DataFrame, how: Scan, universe: str = "default", metadata: DataFrame | None = None) -> DataFrame:
     """Rows with the estimates and excluded_reason (null: kept). panel: date, ticker, px; metadata: ticker, sector, tracks_index.
 
-    max_pairs cuts the ranking before the filters; filters come in the order index, correlation, quality."""
+    max_pairs (a number, or none or all) cuts the ranking before the filters; filters come in the order index, correlation,
+    quality, rolling consistency. The last is over all dates of the panel, and only pairs that passed the others meet it."""
     rows = panels.last_dates(panel, how.lookback or 0)
     placed = rows.join(F.broadcast(panels.positions(rows)), "ticker")
     aligned = pairs.align(placed)
@@ -44,8 +49,9 @@ def scan(panel: DataFrame, how: Scan, universe: str = "default", metadata: DataF
         .join(estimators.spread_summary(spread).drop("spread_range"), pairs.PAIR, "left")
         .join(windows.normalised_range(some).select(*pairs.PAIR, F.col("range_pct").alias("spread_range_pct")), pairs.PAIR, "left")
     )
-    if how.max_pairs:
-        found = pairs.ranked(found, how.max_pairs)
+    most = lookups.parse_max_pairs(how.max_pairs)
+    if most is not None:
+        found = pairs.ranked(found, most)
     quality = scalars.excluded_reason(F.col("pvalue"), F.col("half_life"), F.col("spread_range_pct"), how.pvalue, how.min_half_life, how.max_half_life, how.min_range_pct)
     out = pairs.correlation_reason(found, how.max_corr).withColumnRenamed("reason", "corr_reason")
     if metadata is not None:
@@ -54,7 +60,15 @@ def scan(panel: DataFrame, how: Scan, universe: str = "default", metadata: DataF
         out = sector.where("sector_x = sector_y").drop("sector_x", "sector_y", "bucket")
     else:
         out = out.withColumn("reason", F.lit(None).cast("string"))
-    return out.select(F.lit(universe).alias("universe"), *pairs.PAIR, F.col("corr").alias("correlation"), "n_obs", "spread_mean", "spread_std", F.col("hedge").alias("hedge_ratio"), F.col("t_stat").alias("coint_statistic"), F.col("pvalue").alias("coint_pvalue"), "half_life", "spread_range_pct", F.coalesce("reason", "corr_reason", quality).alias("excluded_reason"))
+    reasons = F.coalesce("reason", "corr_reason", quality)
+    if how.rolling_share is not None:
+        out = cut(out.withColumn("reason", reasons))
+        whole = pairs.align(panel.join(F.broadcast(panels.positions(panel)), "ticker"))
+        t_max = scalars.coint_threshold(how.pvalue)
+        rolled = validation.rolling_reason(out.where("reason IS NULL"), whole, t_max, how.max_half_life, how.rolling_share, how.rolling_rows, how.rolling_step)
+        out = out.where("reason IS NOT NULL").withColumn("rolling_reason", F.lit(None).cast("string")).unionByName(rolled)
+        reasons = F.coalesce("reason", "rolling_reason")
+    return out.select(F.lit(universe).alias("universe"), *pairs.PAIR, F.col("corr").alias("correlation"), "n_obs", "spread_mean", "spread_std", F.col("hedge").alias("hedge_ratio"), F.col("t_stat").alias("coint_statistic"), F.col("pvalue").alias("coint_pvalue"), "half_life", "spread_range_pct", reasons.alias("excluded_reason"))
 
 
 def rolling_scan(panel: DataFrame, rows: int = 252, step: int = 21, min_corr: float = 0.6, least_windows: int = 3) -> DataFrame:
