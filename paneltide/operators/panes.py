@@ -90,7 +90,8 @@ def _form(s: str, left: dict[str, str], right: dict[str, str]) -> str:
 
 def tested(moments: DataFrame, least: int = 30, by: tuple[str, ...] = BY) -> DataFrame:
     """Of each window of merged(): date (its last), hedge, intercept, r2, n_obs, lag_used, t_stat and half_life, as
-    estimators.engle_granger and estimators.half_life of the spread give them for the window's rows."""
+    estimators.engle_granger and estimators.half_life of the spread give them for the window's rows; spread_mean and
+    spread_std of the spread with its intercept in it, snr as estimators.snr, and return_corr, the correlation of the changes."""
     c = F.col
     m = moments.withColumn("n_obs", c("l_o_o").cast("long")).where(c("n_obs") >= least)
     m = m.withColumns({"svv": c("l_v_v") - c("l_o_v") * c("l_o_v") / c("n_obs"), "suv": c("l_u_v") - c("l_o_u") * c("l_o_v") / c("n_obs"), "suu": c("l_u_u") - c("l_o_u") * c("l_o_u") / c("n_obs")})
@@ -104,6 +105,8 @@ def tested(moments: DataFrame, least: int = 30, by: tuple[str, ...] = BY) -> Dat
     in_b = lambda p, q, first, second: f"{_form('b', p, q)} - if(d1_0 IS NULL, 0D, {first}) - if(d_0 IS NULL, 0D, {second})"
     sums = {
         "a0": in_a(e1, e1, "e1_0 * e1_0"), "b0": in_a(e1, d, "e1_0 * d_0"), "c0": in_a(d, d, "d_0 * d_0"), "s_e": in_a({"o": "1"}, e1, "e1_0"), "s_d": in_a({"o": "1"}, d, "d_0"),
+        "s_u": in_a({"o": "1"}, {"du": "1"}, "e_du"), "s_v": in_a({"o": "1"}, {"dv": "1"}, "e_dv"),
+        "q_u": in_a({"du": "1"}, {"du": "1"}, "e_du * e_du"), "q_v": in_a({"dv": "1"}, {"dv": "1"}, "e_dv * e_dv"), "q_uv": in_a({"du": "1"}, {"dv": "1"}, "e_du * e_dv"),
         "a": in_b(e1, e1, "e1_0 * e1_0", "e1_1 * e1_1"), "b": in_b(e1, d, "e1_0 * d_0", "e1_1 * d_1"), "c": in_b(d, d, "d_0 * d_0", "d_1 * d_1"),
         "f": in_b(e1, d1, "e1_0 * d1_0", "e1_1 * d_0"), "g": in_b(d1, d1, "d1_0 * d1_0", "d_0 * d_0"), "h": in_b(d, d1, "d_0 * d1_0", "d_1 * d_0"),
     }
@@ -120,7 +123,26 @@ def tested(moments: DataFrame, least: int = 30, by: tuple[str, ...] = BY) -> Dat
     m = m.withColumn("slope", F.when(level > ROUNDING * c("suu"), (c("b0") - c("s_e") * c("s_d") / c("n0")) / level))
     r2 = F.when(c("suu") > 0, c("suv") * c("suv") / (c("suu") * c("svv"))).otherwise(1.0)
     intercept = c("alpha") + c("__x0") - c("hedge") * c("__y0")
-    return m.select(*by, "window", ORDER, "hedge", intercept.alias("intercept"), r2.alias("r2"), "n_obs", "lag_used", F.when(c("lag_used") == 1, t1).otherwise(t0).alias("t_stat"), half_life_of(c("slope")).alias("half_life"))
+    t_stat = F.when(c("lag_used") == 1, t1).otherwise(t0)
+    # Clipped at zero, which sums of squares may miss by rounding.
+    m = m.withColumns({name: F.expr(f"greatest({text}, 0D)") for name, text in {"var_s": "(suu - 2 * hedge * suv + hedge * hedge * svv) / (n_obs - 1)", "var_d": "(c0 - s_d * s_d / n0) / (n0 - 1)", "var_u": "q_u - s_u * s_u / n0", "var_v": "q_v - s_v * s_v / n0"}.items()})
+    others = {
+        "spread_mean": "alpha + __x0 - hedge * __y0",
+        "spread_std": "sqrt(var_s)",
+        "snr": "if(var_d > 0, sqrt(var_s / var_d), 0D)",
+        "return_corr": "if(var_u > 0 AND var_v > 0, (q_uv - s_u * s_v / n0) / sqrt(var_u * var_v), CAST(NULL AS DOUBLE))",
+    }
+    out = m.select(*by, "window", ORDER, "hedge", intercept.alias("intercept"), r2.alias("r2"), "n_obs", "lag_used", t_stat.alias("t_stat"), half_life_of(c("slope")).alias("half_life"), *[F.expr(text).alias(name) for name, text in others.items()])
+    # A filter on the estimates, pushed below them, would spell out each formula in terms of the sums, many times over.
+    # Grouping rows that are already one a group, where they lie, stops it.
+    names = [n for n in out.columns if n not in (*by, "window")]
+    return out.groupBy(*by, "window").agg(*[F.max(n).alias(n) for n in names])
+
+
+def whole(aligned: DataFrame, log: bool = True, by: tuple[str, ...] = BY, least: int = 30) -> DataFrame:
+    """tested() of all rows of each series, in one pass and one shuffle."""
+    one = panes(aligned, lambda k, n: F.lit(0), log, by)
+    return tested(merged(one, lambda k, n: F.array(F.lit(0)), lambda w, n: F.lit(0), by), least, by).drop("window", ORDER)
 
 
 def rolling(aligned: DataFrame, rows: int, step: int, log: bool = True, by: tuple[str, ...] = BY, least: int = 30) -> DataFrame:

@@ -38,17 +38,12 @@ def scan(panel: DataFrame, how: Scan, universe: str = "default", metadata: DataF
     placed = rows.join(F.broadcast(panels.positions(rows)), "ticker")
     aligned = pairs.align(placed)
     corr = comoments.correlation(pairs.listwise(panels.returns(placed, "simple")), "r").drop("n_obs")
-    # The estimates below read the pairs many times over.
+    # Both estimates below read the pairs.
     corr = cut(pairs.band(corr, how.min_corr, how.max_corr))
     some = aligned.join(corr.select(*pairs.PAIR), pairs.PAIR, "left_semi")
-    eg = estimators.engle_granger(some).where(F.col("n_obs") >= min(how.min_obs, how.lookback or how.min_obs))
-    spread = estimators.spread(some, eg)
-    found = (
-        corr.join(estimators.with_pvalue(eg), pairs.PAIR)
-        .join(estimators.half_life(spread).select(*pairs.PAIR, "half_life"), pairs.PAIR, "left")
-        .join(estimators.spread_summary(spread).drop("spread_range"), pairs.PAIR, "left")
-        .join(windows.normalised_range(some).select(*pairs.PAIR, F.col("range_pct").alias("spread_range_pct")), pairs.PAIR, "left")
-    )
+    eg = panes.whole(some).where(F.col("n_obs") >= min(how.min_obs, how.lookback or how.min_obs)).drop("snr", "return_corr")
+    ranges = windows.normalised_range(some).select(*pairs.PAIR, F.col("range_pct").alias("spread_range_pct"))
+    found = corr.join(estimators.with_pvalue(eg), pairs.PAIR).join(ranges, pairs.PAIR, "left")
     most = lookups.parse_max_pairs(how.max_pairs)
     if most is not None:
         found = pairs.ranked(found, most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import estimators, pairs, simulation, windows
+from ..operators import estimators, pairs, panes, simulation, windows
 
 BY = ("trading_year", "leg_x", "leg_y")
 
@@ -19,14 +19,11 @@ def formation(aligned: DataFrame) -> DataFrame:
 def candidates(aligned: DataFrame, min_corr: float = -1.0, max_corr: float = 1.0) -> DataFrame:
     """Of each trading year and pair: correlation, Engle-Granger statistic, half-life, range, snr, crossing rate and score."""
     rows = formation(aligned)
-    lx, ly = F.log("x"), F.log("y")
-    r = rows.select(*BY, "date", lx.alias("lx"), ly.alias("ly")).withColumn("x", windows.diff("lx", BY)).withColumn("y", windows.diff("ly", BY))
-    corr = r.groupBy(*BY).agg(F.corr("x", "y").alias("corr")).where(F.col("corr").between(min_corr, max_corr))
-    eg = estimators.engle_granger(rows, by=BY)
+    eg = panes.whole(rows, by=BY).withColumnRenamed("return_corr", "corr").where(F.col("corr").between(min_corr, max_corr)).drop("spread_mean")
     spread = estimators.spread(rows, eg, intercept=True, by=BY)
     keys = list(BY)
-    out = eg.join(corr, keys).join(estimators.half_life(spread, by=BY).select(*keys, "half_life"), keys, "left").join(estimators.spread_summary(spread, by=BY), keys).join(estimators.snr(spread, by=BY), keys)
-    out = out.join(windows.zero_crossings(spread, by=BY).select(*keys, F.col("rate").alias("zcr")), keys)
+    ranges = spread.groupBy(*BY).agg((F.max("spread") - F.min("spread")).alias("spread_range"))
+    out = eg.join(ranges, keys).join(windows.zero_crossings(spread, by=BY).select(*keys, F.col("rate").alias("zcr")), keys)
     p = estimators.with_pvalue(out)
     return p.withColumn("score", scalars.pair_score(F.col("pvalue"), F.coalesce("half_life", F.lit(1e9)), F.col("spread_range"), F.col("hedge"), F.col("snr"), F.col("zcr"), F.lit(1.0)))
 

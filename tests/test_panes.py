@@ -108,3 +108,17 @@ def test_trailing_hedge(spark):
     r = estimators.trailing_hedge(spark.createDataFrame(data, SCHEMA), 63).first()
     slope, intercept = np.polyfit([math.log(b) for *_, b in data[-63:]], [math.log(a) for *_, a, _ in data[-63:]], 1)
     assert r["n_obs"] == 63 and r["date"] == data[-1][2] and r["hedge"] == pytest.approx(slope) and r["intercept"] == pytest.approx(intercept)
+
+
+def test_whole_series(spark):
+    data = series("A", 150, 11) + series("C", 90, 12)
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {r["leg_x"]: r for r in panes.whole(df).collect()}
+    eg = estimators.engle_granger(df)
+    spread = estimators.spread(df, eg)
+    own = eg.join(estimators.half_life(spread).select("leg_x", "half_life"), "leg_x").join(estimators.spread_summary(spread), "leg_x").join(estimators.snr(spread), "leg_x")
+    for w in own.collect():
+        for c in ("hedge", "intercept", "r2", "n_obs", "lag_used", "t_stat", "half_life", "spread_mean", "spread_std", "snr"):
+            assert got[w["leg_x"]][c] == pytest.approx(w[c], rel=1e-7), c
+        x, y = (np.diff(np.log([r[k] for r in data if r[0] == w["leg_x"]])) for k in (3, 4))
+        assert got[w["leg_x"]]["return_corr"] == pytest.approx(np.corrcoef(x, y)[0, 1])
