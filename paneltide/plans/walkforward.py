@@ -22,7 +22,7 @@ def candidates(aligned: DataFrame, min_corr: float = -1.0, max_corr: float = 1.0
     eg = panes.whole(rows, by=BY).withColumnRenamed("return_corr", "corr").where(F.col("corr").between(min_corr, max_corr)).drop("spread_mean")
     spread = estimators.spread(rows, eg, intercept=True, by=BY)
     keys = list(BY)
-    ranges = spread.groupBy(*BY).agg((F.max("spread") - F.min("spread")).alias("spread_range"))
+    ranges = spread.groupBy(*BY).agg((F.max("spread") - F.min("spread")).alias("spread_range"), F.avg("spread").alias("spread_mean"))
     out = eg.join(ranges, keys).join(windows.zero_crossings(spread, by=BY).select(*keys, F.col("rate").alias("zcr")), keys)
     p = estimators.with_pvalue(out)
     return p.withColumn("score", scalars.pair_score(F.col("pvalue"), F.coalesce("half_life", F.lit(1e9)), F.col("spread_range"), F.col("hedge"), F.col("snr"), F.col("zcr"), F.lit(1.0)))
