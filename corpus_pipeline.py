@@ -15,8 +15,8 @@ from paneltide.llm import decontaminate, language, line_dedup, mixing, set_simil
 from paneltide.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Shingle and similarity of the near-dedup stage.
-SHINGLE, SIMILARITY = 5, 0.8
+#: Shingle, bits and similarity of the near-dedup stage.
+SHINGLE, DISTANCE, SIMILARITY = 5, 6, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +39,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays (of one id: of the smallest hash; null ids
+    """SimHash links at DISTANCE bits are verified by similarity, and an exact pass links what is alike beyond these bits.
+    Of each group of near duplicates the document of the smallest id stays (of one id: of the smallest hash; null ids
     last). Rows of one id and different texts are documents of their own, rows of equal id and text are one. Texts
     without words are copies of each other."""
     rows = keyed(docs)
-    groups = set_similarity.near_duplicates(rows, id_column="key", shingle=SHINGLE, similarity=SIMILARITY)
+    groups = set_similarity.near_duplicates(rows, id_column="key", shingle=SHINGLE, similarity=SIMILARITY, distance=DISTANCE)
     named = groups.distinct().join(rows.select("key", "doc_id").distinct(), "key")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select("first.key")
     return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)

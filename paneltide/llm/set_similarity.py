@@ -1,12 +1,16 @@
-"""Near duplicates by the exact Jaccard similarity of the sets of shingles.
+"""Near duplicates by SimHash and the exact Jaccard similarity of the sets of shingles.
 
-Texts (in lower case) are sets of hashed shingles of their words. Equal sets are collapsed to one. Two sets of a
-similarity of at least t share a shingle among the first n - ceil(t * n) + 1 of each, in any order common to all sets;
+Texts (in lower case) are sets of hashed shingles of their words. Equal sets are collapsed to one. A set's SimHash has
+the bits that over half of its shingles' hashes have; the generalised pigeonhole search of simhash.py finds the sets
+within `distance` bits, which are compared exactly and give the first links.
+
+No number of bits is sure to hold a similarity, so an exact pass follows for what these links leave apart. Two sets of
+a similarity of at least t share a shingle among the first n - ceil(t * n) + 1 of each, in any order common to all sets;
 the order is from rare to frequent shingles, by a sketch of counts, so that passages which many texts share seldom
 come first. Sets that meet at such a shingle, and whose sizes and counts by part of the hash's range allow the
 similarity, are compared exactly.
 
-What is wanted are the components, so pairs within one need no comparison: where a shingle has more than FEW sets,
+What is wanted are the components, so pairs within one, be it by SimHash, need no comparison: where a shingle has more than FEW sets,
 these are first compared with a common one, ROUNDS times with another, and then all pairs of them that are not yet in
 one component are. Nothing is left out: if the links so far do not join two sets, they are compared themselves.
 
@@ -28,7 +32,7 @@ from pyspark.sql import types as T
 from .common import cut, written
 from .components import components
 from .decontaminate import shingles
-from .simhash import text_bytes
+from .simhash import candidates, majority, text_bytes
 from .tokens import hash_words, mix64
 
 FEW, ROUNDS = 16, 4
@@ -95,9 +99,9 @@ def parts_of(s: np.ndarray) -> np.ndarray:
 
 
 def with_prefixes(source: DataFrame, size: int, similarity: float) -> DataFrame:
-    """id, the set as two sums of hashes, its size n, its first shingles, and its counts by part."""
+    """id, the set as two sums of hashes, its size n, its SimHash, its first shingles, and its counts by part."""
     counts = source.sparkSession.sparkContext.broadcast(sketch(source, size))
-    schema = T.StructType([source.schema["id"], *[T.StructField(c, T.LongType()) for c in ("one", "two", "n")], T.StructField("first", T.ArrayType(T.LongType())), T.StructField("parts", T.ArrayType(T.ShortType()))])
+    schema = T.StructType([source.schema["id"], *[T.StructField(c, T.LongType()) for c in ("one", "two", "n", "fingerprint")], T.StructField("first", T.ArrayType(T.LongType())), T.StructField("parts", T.ArrayType(T.ShortType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _slices(batches, 1, size):
@@ -106,7 +110,9 @@ def with_prefixes(source: DataFrame, size: int, similarity: float) -> DataFrame:
                 most = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
                 first.append(s[np.lexsort((s, counts.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:most]])
             one, two = (np.array([mix64(s ^ salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (np.uint64(0), _OTHER))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one), pa.array(two), pa.array([len(s) for s in sets], pa.int64()), _lists(first), pa.array([parts_of(s) for s in sets], pa.list_(pa.int16()))], names=schema.names)
+            n = np.array([len(s) for s in sets], np.int64)
+            prints = majority(np.concatenate([np.zeros(0, np.uint64), *sets]), n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one), pa.array(two), pa.array(n), pa.array(prints), _lists(first), pa.array([parts_of(s) for s in sets], pa.list_(pa.int16()))], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -152,13 +158,33 @@ def verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, size: int, si
     return cut(both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_pairs(sets: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of ids whose SimHashes are within the distance. sets: id and fingerprint of distinct sets.
+
+    A fingerprint stands for its smallest id, to which its other ids are paired."""
+    prints = cut(sets.groupBy("fingerprint").agg(F.min("id").alias("least")))
+    side = lambda name: prints.select(F.col("fingerprint").alias(name), F.col("least").alias(f"least_{name}"))
+    near = candidates(prints, distance).join(side("a"), "a").join(side("b"), "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    same = sets.join(prints, "fingerprint").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return near.unionByName(same)
+
+
+def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those that no component holds both ends of. label: node and label, as components() gives them."""
+    own = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+    both = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 6) -> DataFrame:
     """Id and component_id, the smallest id reachable over pairs of the similarity, of each row that has an id."""
     source = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.lower(F.col(text)).alias("text"))
     if source.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count():
         source = written(source.dropDuplicates(["id"]))
     rows = written(with_prefixes(source, shingle, similarity))
-    copies = cut(rows.groupBy("one", "two", "n").agg(F.min("id").alias("least")))
+    copies = cut(rows.groupBy("one", "two", "n").agg(F.min("id").alias("least"), F.min("fingerprint").alias("fingerprint")))
+    links = verified(fingerprint_pairs(copies.select(F.col("least").alias("id"), "fingerprint"), distance), rows, source, shingle, similarity)
+    label = components(links)
     met = rows.join(copies.select(F.col("least").alias("id")), "id", "left_semi").select("id", "n", F.explode("first").alias("token"))
     shared = met.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     met = written(met.join(shared, "token"))
@@ -170,8 +196,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
     pair = lambda df: df.where(fits).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     few, many = met.where(F.col("sets") <= FEW).select("token", "id", "n"), met.where(F.col("sets") > FEW).select("token", "id", "n")
-    links = verified(pair(side(few, "a").join(side(few, "b"), "token").where("id_a < id_b")), rows, source, shingle, similarity)
-    label = components(links)
+    new = verified(apart(pair(side(few, "a").join(side(few, "b"), "token").where("id_a < id_b")), label), rows, source, shingle, similarity)
+    if new.limit(1).count():
+        links = cut(links.unionByName(new))
+        label = components(links)
     for k in range(ROUNDS + 1) if many.limit(1).count() else ():
         at = cut(many.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
         # What is of one component at its shingle needs nothing more.

@@ -61,14 +61,12 @@ def shingle_hashes(data: bytes, size: int) -> list[int]:
     return [digest(line[s:e], SEED) for s, e in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
 
 
-def fingerprints_of(hashes: list[list[int]]) -> np.ndarray:
-    """The fingerprint of each list of hashes, as uint64."""
-    n = np.array([len(h) for h in hashes], dtype=np.int64)
-    out = np.zeros(len(hashes), dtype=np.uint64)
+def majority(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each text, of n[i] of the hashes (uint64, text after text), the bits set in over half of them."""
+    out = np.zeros(len(n), dtype=np.uint64)
     some = np.flatnonzero(n)
     if not len(some):
         return out
-    flat = np.fromiter((x for h in hashes for x in h), dtype=np.uint64, count=int(n.sum()))
     begin = np.concatenate(([0], np.cumsum(n[some])[:-1]))
     # Bits are counted in the bytes of a word, which hold at most 255 of them: sums of pieces, then of a text's pieces.
     pieces = -(-n[some] // 255)
@@ -84,6 +82,12 @@ def fingerprints_of(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
+def fingerprints_of(hashes: list[list[int]]) -> np.ndarray:
+    """The fingerprint of each list of hashes, as uint64."""
+    n = np.array([len(h) for h in hashes], dtype=np.int64)
+    return majority(np.fromiter((x for h in hashes for x in h), dtype=np.uint64, count=int(n.sum())), n)
+
+
 def with_fingerprints(docs: DataFrame, keep: tuple[str, ...], text: str = "text", shingle: int = 4) -> DataFrame:
     """The kept columns and the fingerprint, as a signed long."""
     fields = {f.name: f for f in docs.schema.fields}
@@ -243,6 +247,22 @@ def links(prints: DataFrame, distance: int = 4, every: bool = False) -> DataFram
     return meet(cold, cold).unionByName(swapped).distinct().unionByName(_star(hot, distance))
 
 
+def candidates(prints: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints within the distance, to be verified one by one. prints: as for links().
+
+    All pairs, but where more than HOT_BUCKET meet at a key only those with the key's smallest: for callers that find
+    what these leave unlinked by an exact way."""
+    n, both = bit_statistics(prints)
+    if n < 2:
+        return prints.where("false").select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"))
+    parts = allocate(n, both, distance)
+    own = _keys(prints, parts, 0, "a")
+    hot = cut(own.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).where(F.col("n") > HOT_BUCKET).select("a", "part", "key"))
+    some = own.join(F.broadcast(hot.select("part", "key")), ["part", "key"], "left_anti").select("a", "part", "key").unionByName(hot)
+    close = (F.col("a") < F.col("b")) & (_apart("a", "b") <= distance)
+    return some.join(_keys(prints, parts, 1, "b"), ["part", "key"]).where(close).select("a", "b").distinct()
+
+
 def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, id_column: str, text: str, shingle: int, similarity: float) -> DataFrame:
     """Of the links (a, b) those whose documents' sets of shingles have the similarity (Jaccard) or more.
 

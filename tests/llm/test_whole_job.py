@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from paneltide.llm import set_similarity, simhash
 
 
@@ -72,3 +73,23 @@ def test_near_duplicates_are_all_found(spark, monkeypatch, few):
 
 def texts_of_numbers(seed):
     return " ".join(map(str, np.random.default_rng(seed).integers(0, 50, 80)))
+
+
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_near_dedup_goes_through_simhash(spark, monkeypatch, tmp_path, hot):
+    """The stage's first links are those of SimHash, at its bits and its similarity; the exact pass finds the others."""
+    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
+    texts = dict(enumerate(edited_copies(5, 25, 150) + [texts_of_numbers(9)], 1))
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    prints = {i: int(simhash.majority(s, np.array([len(s)]))[0]) for i, s in zip(texts, set_similarity.sets_of([t.encode() for t in texts.values()], 5), strict=True)}
+    alike = {(i, j) for i in texts for j in texts if i < j and jaccard(sets[i], sets[j]) >= 0.8}
+    near = {(i, j) for i, j in alike if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.DISTANCE}
+    assert near and near != alike
+    seen, plain = [], set_similarity.verified
+    monkeypatch.setattr(set_similarity, "verified", lambda *a: seen.append(plain(*a)) or seen[-1])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(smallest_reachable(list(texts), lambda i, j: (i, j) in alike).values())
+    ids = {r["key"]: r["doc_id"] for r in corpus_pipeline.keyed(docs).collect()}
+    first = {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in seen[0].collect()}
+    assert first == near if hot > len(texts) else first and first <= near
