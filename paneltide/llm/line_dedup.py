@@ -20,38 +20,63 @@ of rows with one id and different texts the order of the text's hash decides. Nu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS, cut, let, table
+from .common import WS_CHARS, cut, let, table
 
 EDIT_WORDS = 5
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), WS), "")
+def _spaced(text: Column) -> Column:
+    """The text in lower case with one space for each run of white space within a line; \n stays."""
+    lower = F.lower(text)
+    plain = reduce(Column.__or__, [lower.contains(x) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    return F.when(plain, F.regexp_replace(lower, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(lower)
+
+
+def _line(spaced: Column) -> Column:
+    """A line of _spaced(): its words with a space between."""
+    return F.trim(spaced)
+
+
+def _size(line: Column) -> Column:
+    """The number of words of a line of _line()."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def _first(line: Column, n: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), n)
+
+
+def _last(line: Column, n: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), -n)
 
 
-def _line(words: Column) -> Column:
-    return F.concat_ws(" ", words)
+def _blank(line: Column) -> Column:
+    """Whether a line has no words."""
+    return F.trim(line, F.lit(WS_CHARS)) == ""
 
 
-def _halves(w: Column, n: Column, least: int) -> Column:
+def _halves(x: Column, n: Column, least: int) -> Column:
     """Hashes of the first and last half, for pairs whose shorter line has n words, and n - 1."""
 
     def pair(shorter: Column) -> list[Column]:
         head = F.floor(shorter / 2).cast("int")
         tail = shorter - head
-        return [F.xxhash64(F.lit(0), shorter, _line(F.slice(w, F.lit(1), head))), F.xxhash64(F.lit(1), shorter, _line(F.slice(w, n - tail + 1, tail)))]
+        return [F.xxhash64(F.lit(0), shorter, _first(x, head)), F.xxhash64(F.lit(1), shorter, _last(x, tail))]
 
     return F.when(n > least, F.array(*pair(n), *pair(n - 1))).when(n == least, F.array(*pair(n))).otherwise(F.array().cast("array<bigint>"))
 
 
 def first_lines(docs: DataFrame, id_column: str, text: str, least: int) -> DataFrame:
     """Each distinct line: its hash, where it stands first, and the hashes of its halves."""
-    lines = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
-    worded = lines.select("id", "text_hash", "line", _words(F.col("raw")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
-    keyed = worded.select("id", "text_hash", "line", F.xxhash64(_line(F.col("w"))).alias("h"), _halves(F.col("w"), F.col("n"), least).alias("halves"))
+    texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), _spaced(F.col(text)).alias("spaced"))
+    lines = texts.select("id", "text_hash", F.posexplode(F.split("spaced", "\n")).alias("line", "raw"))
+    worded = lines.select("id", "text_hash", "line", _line(F.col("raw")).alias("x")).where("x <> ''").withColumn("n", _size(F.col("x")))
+    keyed = worded.select("id", "text_hash", "line", F.xxhash64("x").alias("h"), _halves(F.col("x"), F.col("n"), least).alias("halves"))
     return keyed.groupBy("h").agg(F.min(F.struct("id", "text_hash", "line", "halves")).alias("f")).select("h", "f.*")
 
 
@@ -64,15 +89,15 @@ def _neighbours(lines: DataFrame, docs: DataFrame, id_column: str, text: str) ->
     candidates = cut(lines.drop("halves").join(able, "h"))
 
     by_doc = candidates.groupBy("id", "text_hash").agg(F.collect_list(F.struct("line", "h", "late", "early")).alias("wanted"))
-    own = docs.select(F.col(id_column).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
+    own = docs.select(F.col(id_column).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), _spaced(F.col(text)).alias("__text"))
     found = own.join(by_doc, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("text_hash")))
     wanted = let(F.split("__text", "\n"), lambda lines: F.transform("wanted", lambda x: F.struct(x.alias("x"), lines[x["line"]].alias("raw"))))
     each = found.select("id", "text_hash", F.explode(wanted).alias("y"))
-    texts = cut(each.select("y.x.h", F.struct("id", "text_hash", "y.x.line").alias("at"), "y.x.late", "y.x.early", _words(F.col("y.raw")).alias("w")).dropDuplicates(["h"]))
+    texts = cut(each.select("y.x.h", F.struct("id", "text_hash", "y.x.line").alias("at"), "y.x.late", "y.x.early", _line(F.col("y.raw")).alias("x")).withColumn("n", _size(F.col("x"))).dropDuplicates(["h"]))
 
-    size = F.size("w")
+    size = F.col("n")
     middle = F.floor((size - 1) / 2).cast("int")
-    without = lambda i: F.xxhash64(_line(F.concat(F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, size))))
+    without = lambda i: F.xxhash64(F.concat_ws(" ", F.when(i > 1, _first(F.col("x"), i - 1)), F.when(i < size, _last(F.col("x"), size - i))))
     places = F.sequence(F.when(F.col("early"), 1).otherwise(middle + 1), F.when(F.col("late"), size).otherwise(middle + 1))
     deleted = texts.select("h", F.explode(F.transform(places, lambda i: F.struct(i.alias("place"), without(i).alias("variant")))).alias("v")).select("h", "v.place", "v.variant")
     # Place 0: the whole line, as a variant of lines with one word more.
@@ -88,7 +113,8 @@ def _neighbours(lines: DataFrame, docs: DataFrame, id_column: str, text: str) ->
     added = earlier(gone, first(few.where("place = 0"), ["variant"]), ["variant"])
     lacking = earlier(few.where("place = 0"), first(gone, ["variant"]), ["variant"])
     best = replaced.unionByName(added).unionByName(lacking).groupBy("h").agg(F.min("first").alias("first")).select("h", F.col("first.h").alias("by"))
-    a, b = texts.select("h", F.col("w").alias("wa")), texts.select(F.col("h").alias("by"), F.col("w").alias("wb"))
+    words = F.split("x", " ")
+    a, b = texts.select("h", words.alias("wa")), texts.select(F.col("h").alias("by"), words.alias("wb"))
     return best.join(a, "h").join(b, "by").where(within_one_edit(F.col("wa"), F.col("wb"))).select("h", "by")
 
 
@@ -116,7 +142,7 @@ def _with_kept(docs: DataFrame, kept: DataFrame, id_column: str, text_hash: Colu
 
 def _worded(text: Column) -> Column:
     """Numbers of the lines that have words."""
-    flags = F.transform(F.split(text, "\n"), lambda x, i: F.when(F.length(F.translate(x, WS_CHARS, "")) > 0, i).otherwise(-1))
+    flags = F.transform(F.split(text, "\n"), lambda x, i: F.when(_blank(x), -1).otherwise(i))
     return F.filter(flags, lambda i: i >= 0)
 
 
@@ -125,11 +151,11 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     kept = kept_lines(docs, id_column, text, least)
     joined = _with_kept(docs, kept, id_column, F.xxhash64(F.col(text)))
     lines = F.split(F.col(text), "\n")
-    numbers = F.transform(lines, lambda x, i: F.when(F.length(F.translate(x, WS_CHARS, "")) > 0, -1).otherwise(i))
+    numbers = F.transform(lines, lambda x, i: F.when(_blank(x), i).otherwise(-1))
     stay = F.array_sort(F.concat(F.filter(numbers, lambda i: i >= 0), F.coalesce("__kept", F.array().cast("array<int>"))))
     # Bound once: a lambda would split the text anew for each line.
     parts = F.struct(lines.alias("lines"), stay.alias("stay"))
-    had = F.length(F.translate(F.coalesce(F.col(text), F.lit("")), WS_CHARS, "")) > 0
+    had = ~_blank(F.coalesce(F.col(text), F.lit("")))
     some = joined.where(~had | F.col("__kept").isNotNull())
     new = F.when(F.col(text).isNull(), F.col(text)).otherwise(F.concat_ws("\n", let(parts, lambda x: F.transform(x["stay"], lambda i: x["lines"][i]))))
     return some.withColumn(text, new).select(*docs.columns)

@@ -55,3 +55,15 @@ def test_very_many_lines(spark):
     assert run(2000) == "\n".join(["again and again the same", *want])
     short, long = seconds(lambda: run(10_000)), seconds(lambda: run(20_000))
     assert long < 2.5 * short + 1
+
+
+def test_lines_stay_strings(spark):
+    """The pass over all lines builds no arrays of words, and takes words in any white space and case alike."""
+    texts = ["A  b\tc D e f\n\x0b \r", "a b\x0cc d E f\r\n x", " a b c d x f", "a b c d e f g\x0b\nX\t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = line_dedup.first_lines(df, "doc_id", "text", 5)
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_remove" not in plan and "slice(" not in plan
+    assert sorted((r["id"], r["line"]) for r in first.collect()) == [(0, 0), (1, 1), (2, 0), (3, 0)]
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert kept == {0: texts[0], 1: " x"}
